@@ -179,7 +179,7 @@ def record_origins(spark: SparkSession, folder: str) -> DataFrame:
     parts = [
         fe.source_of(rows).select(
             F.lit(modality).alias("modality"), F.col(key).alias("key"), "origin",
-            records.label_int(F.col("is_anomaly")).alias("label"),
+            F.coalesce(records.label_int(F.col("is_anomaly")), F.lit(-1)).alias("label"),
         )
         for modality, key, rows in [
             ("network", "flow_id", views.flows(spark, folder)),
@@ -701,7 +701,7 @@ def explanations(spark: SparkSession, folder: str) -> DataFrame:
 def narratives(spark: SparkSession, folder: str) -> DataFrame:
     """Alert narratives of all metrics alerts and explanation narratives, with the numbers in the text masked."""
     def masked(column: str):
-        return F.regexp_replace(F.regexp_replace(column, r"score (of|is) [0-9.]+\.", "score $1 #."), "=[0-9.E-]+", "=#")
+        return F.regexp_replace(F.regexp_replace(column, r"score (of|is) [0-9.]+\.", "score $1 #."), r"=-?[0-9]+(\.[0-9]+)?(E-?[0-9]+)?", "=#")
 
     alert = metric_alerts(spark, folder).select("id", masked("narrative").alias("text"))
     told = xp.explanation_narrative(_explained(spark, folder)).select(

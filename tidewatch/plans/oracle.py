@@ -526,9 +526,9 @@ def oracle_sql() -> dict[str, str]:
         "log_rules": _log_rules(),
         "message_lengths": "SELECT doc_id AS log_id, CAST(length(text) AS INTEGER) AS message_length FROM documents",
         "record_origins": with_ctes(C_FLOWS + C_METRICS + C_LOGS, """
-            SELECT 'network' AS modality, flow_id AS key, src_ip AS origin, CAST(is_anomaly AS INTEGER) AS label FROM flows
-            UNION ALL SELECT 'metric', rec_id, host, CAST(is_anomaly AS INTEGER) FROM metrics
-            UNION ALL SELECT 'log', log_id, source, CAST(is_anomaly AS INTEGER) FROM logs"""),
+            SELECT 'network' AS modality, flow_id AS key, src_ip AS origin, coalesce(CAST(is_anomaly AS INTEGER), -1) AS label FROM flows
+            UNION ALL SELECT 'metric', rec_id, host, coalesce(CAST(is_anomaly AS INTEGER), -1) FROM metrics
+            UNION ALL SELECT 'log', log_id, source, coalesce(CAST(is_anomaly AS INTEGER), -1) FROM logs"""),
         "class_ranges": with_ctes(C_METRIC_SCORED + [("r", """SELECT
             min(CASE WHEN NOT is_anomaly THEN score END) AS normal_min, max(CASE WHEN NOT is_anomaly THEN score END) AS normal_max,
             min(CASE WHEN is_anomaly THEN score END) AS anomaly_min, max(CASE WHEN is_anomaly THEN score END) AS anomaly_max
