@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +32,8 @@ class Detector:
         raise NotImplementedError
 
     def fit_bounds(self, df: DataFrame, fraction: float = FIT_PERCENTILE) -> None:
-        """Threshold at a quantile of the training scores, and the bounds of these scores.
-
-        The scores are kept while they are read several times; lost blocks are recomputed.
-        """
-        scores = self.score(df, "_score").select("_score").persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            found = exact_quantiles(scores, "_score", [0.0, fraction, 1.0]).get((), {})
-        finally:
-            scores.unpersist()
+        """Threshold at a quantile of the training scores, and the bounds of these scores."""
+        found = exact_quantiles(self.score(df, "_score"), "_score", [0.0, fraction, 1.0]).get((), {})
         self.score_min, self.threshold, self.score_max = (found.get(f) for f in (0.0, fraction, 1.0))
 
     def normalized(self, score: Column) -> Column:

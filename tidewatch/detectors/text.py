@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -38,12 +39,17 @@ class LogTextDetector(Detector):
             tokens(F.col("message")).alias("_tokens"), y.alias("label"),
             F.when(y == 1, F.lit(float(weight or 1.0))).otherwise(1.0).alias("_weight"),
         )
-        self.model = Pipeline(stages=[
-            HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=self.terms),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            LogisticRegression(featuresCol="_tfidf", labelCol="label", weightCol="_weight", maxIter=self.iterations,
-                               regParam=0.01, probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred"),
-        ]).fit(rows)
+        hashing = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=self.terms)
+        learner = LogisticRegression(
+            featuresCol="_tfidf", labelCol="label", weightCol="_weight", maxIter=self.iterations, regParam=0.01,
+            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred",
+        )
+        counted = hashing.transform(rows).drop("_tokens").persist(StorageLevel.MEMORY_AND_DISK)  # split texts once
+        try:
+            weighting = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted)
+            self.model = PipelineModel([hashing, weighting, learner.fit(weighting.transform(counted))])
+        finally:
+            counted.unpersist()
         return self
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:

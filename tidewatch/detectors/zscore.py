@@ -30,9 +30,9 @@ class ZScoreDetector(Detector):
     def expression(self) -> Column:
         total = None
         for c in self.features:
-            square = F.pow(self.scaler.z(c), 2)
+            square = self.scaler.squared(c)
             total = square if total is None else total + square
-        return total / len(self.features)
+        return total * F.lit(1.0 / len(self.features))
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         return df.withColumn(name, self.expression())

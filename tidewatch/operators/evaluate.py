@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.ordering import running_totals
+from tidewatch.session import durable
 
 NO_GAP_AUC, NO_GAP_MISS, FAIR_AUC = 0.95, 0.15, 0.85  # fixed values: limits of the verdict
 
@@ -28,8 +29,11 @@ def score_counts(df: DataFrame, score: str, label: str, by: Sequence[str] = ())
 
 
 def ranking_points(counts: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Per distinct score: hits ``tp`` and false alarms ``fp`` if that score were the threshold."""
-    down = counts.withColumn("_down", -F.col("score"))
+    """Per distinct score: hits ``tp`` and false alarms ``fp`` if that score were the threshold.
+
+    The counts are read several times, so they are written once rather than scored again each time.
+    """
+    down = durable(counts).withColumn("_down", -F.col("score"))
     points = running_totals(down, {"tp": F.col("pos"), "fp": F.col("neg")}, ["_down"], by, buckets, totals=True)
     return points.drop("_down")
 

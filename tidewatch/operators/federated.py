@@ -16,6 +16,7 @@ from tidewatch.operators.evaluate import evaluate
 from tidewatch.operators.features import only_normal
 from tidewatch.operators.ordering import exact_quantiles
 from tidewatch.schemas import FIT_PERCENTILE, ROUND_SCHEMA
+from tidewatch.session import durable
 
 
 def fedavg(params: DataFrame) -> DataFrame:
@@ -177,7 +178,7 @@ def federated_evaluate(
 ) -> DataFrame:
     """Per client: examples, ROC AUC, F1 and the loss on its normals; threshold p92 of its scores if none is given."""
     scored = model.score(df, client).select(F.col(client).cast("string").alias("client"), label, "score")
-    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    scored = durable(scored)
     if threshold is None:
         found = exact_quantiles(scored, "score", [FIT_PERCENTILE], ["client"])
         limits = {k[0]: v[FIT_PERCENTILE] for k, v in found.items()}

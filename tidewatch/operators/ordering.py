@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +34,14 @@ def position_in(cuts: Sequence[float], value: Column) -> Column:
         return F.lit(0)
     literal = F.lit(np.asarray(cuts, dtype="float64"))
     steps = [1 << b for b in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(
+    found = F.aggregate(
         F.lit(np.asarray(steps, dtype="int32")),
         F.lit(0),
         lambda found, step: F.when(F.get(literal, found + step - 1) <= value, found + step).otherwise(found),
     )
+    # Never null, and visibly so: a join on it then adds no null test, which would be pushed below an
+    # aggregation and repeat the search, and the score in it, on every input row.
+    return F.coalesce(found, F.lit(0))
 
 
 def _as_double(df: DataFrame, name: str) -> Column:
@@ -171,7 +175,17 @@ def exact_quantiles(
     for a handful of groups such as labels or detectors.
     """
     by = list(by)
-    rows = df.where(F.col(column).isNotNull()).select(*by, F.col(column).cast("double").alias("_value"))
+    values = df.select(*by, F.col(column).cast("double").alias("_value")).where(F.col("_value").isNotNull())
+    values = values.persist(StorageLevel.MEMORY_AND_DISK)  # a score is computed once, lost blocks again
+    try:
+        return _quantiles_of(values, fractions, by, buckets)
+    finally:
+        values.unpersist()
+
+
+def _quantiles_of(
+    rows: DataFrame, fractions: Sequence[float], by: list[str], buckets: int | None
+) -> dict[tuple, dict[float, float]]:
     cut = Buckets.of(rows, ["_value"], buckets)
     rows = rows.withColumn("_bucket", cut.assign(rows))
     counts: dict[tuple, dict[int, int]] = {}

@@ -43,7 +43,11 @@ class Standardizer:
     def z(self, feature: str) -> Column:
         i = self.features.index(feature)
         value = F.coalesce(F.col(feature).cast("double"), F.lit(0.0))
-        return (value - F.lit(self.mean[i])) / F.lit(self.std[i])
+        return (value - F.lit(self.mean[i])) * F.lit(1.0 / self.std[i])
+
+    def squared(self, feature: str) -> Column:
+        """z squared; never null, so a null test on a score of these is folded away."""
+        return self.z(feature) * self.z(feature)
 
     def background_share(self, i: int) -> float:
         """Mean of z squared over the training records, divided by the number of features."""

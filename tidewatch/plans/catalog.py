@@ -7,6 +7,7 @@ engines add up in different orders are rounded to six places, and nested values
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from tidewatch.operators import fuse, knowledge, ordering, profile, sampling, sc
 from tidewatch.operators.shapley import shapley
 from tidewatch.plans.process import Pipeline
 from tidewatch.schemas import DERIVED_FLOW_FEATURES, FLOW_FEATURES, METRIC_FEATURES
+from tidewatch.session import durable, tune
 from tidewatch.sources import views
 from tidewatch.sources.views import table
 
@@ -38,8 +40,12 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(run: Query) -> Query:
-    QUERIES[run.__name__] = run
-    return run
+    @wraps(run)
+    def tuned(spark: SparkSession, folder: str) -> DataFrame:
+        return run(tune(spark), folder)
+
+    QUERIES[run.__name__] = tuned
+    return tuned
 
 
 def rounded(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFrame:
@@ -290,8 +296,9 @@ def fuse_vote(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _score_quantiles(df: DataFrame, names: Sequence[str]) -> dict[str, float]:
-    normals = fe.only_normal(df)
-    return {c: ordering.exact_quantile(normals, c, 0.92) for c in names}
+    """Quantile of several score columns over the normals, from one long table."""
+    long = ev.stack_scores(fe.only_normal(df), {c: c for c in names}, "is_anomaly")
+    return {k[0]: v[0.92] for k, v in ordering.exact_quantiles(long, "score", [0.92], ["detector"]).items()}
 
 
 @query
@@ -943,6 +950,6 @@ def federated_eval(spark: SparkSession, folder: str) -> DataFrame:
 def federated_vs_central(spark: SparkSession, folder: str) -> DataFrame:
     rows, model = _federated(spark, folder)
     central = MlpReconstruction(METRIC_FEATURES, (16, 8), epochs=4, rate=0.01).fit(fe.only_normal(rows), None)
-    both = central.score(model.score(rows, name="federated"), "central")
+    both = durable(central.score(model.score(rows, name="federated"), "central").select("is_anomaly", "federated", "central"))
     names = {"federated": "federated", "central": "central"}
     return ev.compare_detectors(both, names, "is_anomaly", _score_quantiles(both, list(names)))
