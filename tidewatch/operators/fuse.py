@@ -34,6 +34,8 @@ def fuse_dataframe(
 ) -> DataFrame:
     """Add ``fused_score`` and ``is_anomaly_pred`` from whichever of the score columns the table has."""
     present = [c for c in SCORE_COLUMNS if c in df.columns]
+    if not present:
+        raise ValueError(f"at least one score column of {SCORE_COLUMNS} is needed")
     scaled = df.withColumns({f"_n_{c}": F.col(c) for c in present})
     if normalize:
         scaled = minmax_normalize(scaled, [f"_n_{c}" for c in present])
