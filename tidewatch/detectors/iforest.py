@@ -33,6 +33,10 @@ def average_path(n: float) -> float:
     return 2.0 * (np.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+def tree_depth(sample: int) -> int:
+    return max(1, int(np.ceil(np.log2(max(sample, 2)))))
+
+
 def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     """Nodes (node, feature, split, left, right, path) of one tree; a leaf has feature -1."""
     nodes: list[tuple] = []
@@ -57,21 +61,22 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
 
 
 def forest_scores(points: np.ndarray, forest: dict[str, np.ndarray], scale: float) -> np.ndarray:
-    """Walk all trees for a block of rows at once, level by level."""
-    tree = np.arange(forest["feature"].shape[0])[None, :]
+    """Walk all trees for a block of rows at once, one level per step.
+
+    The node arrays hold all trees end to end. The right child follows the left one, and a leaf is its own
+    left child behind a split no value exceeds, so every step is the same for all nodes.
+    """
+    points = np.ascontiguousarray(points)
     parts = [np.empty(0)]
     for start in range(0, len(points), 2048):
         block = points[start : start + 2048]
-        row = np.arange(len(block))[:, None]
-        at = np.zeros((len(block), tree.shape[1]), dtype="int32")
-        while True:
-            feature = forest["feature"][tree, at]
-            inner = feature >= 0
-            if not inner.any():
-                break
-            left = block[row, np.maximum(feature, 0)] <= forest["split"][tree, at]
-            at = np.where(inner, np.where(left, forest["left"][tree, at], forest["right"][tree, at]), at)
-        parts.append(np.exp2(-forest["path"][tree, at].mean(axis=1) / scale))
+        row = (np.arange(len(block)) * block.shape[1])[:, None]
+        flat = block.ravel()
+        at = np.broadcast_to(forest["root"], (len(block), len(forest["root"])))
+        for _ in range(forest["depth"]):
+            goes_right = flat.take(row + forest["feature"].take(at)) > forest["split"].take(at)
+            at = forest["left"].take(at) + goes_right
+        parts.append(np.exp2(-forest["path"].take(at).mean(axis=1) / scale))
     return np.concatenate(parts)
 
 
@@ -99,7 +104,7 @@ class IsolationForest(Detector):
             .where(F.pmod("_u", F.lit(1_000_000).cast("long")) < int(share * 1_000_000))
         )
         seed, used = self.seed, self.used
-        limit = max(1, int(np.ceil(np.log2(max(used, 2)))))
+        limit = tree_depth(used)
 
         def plant(group: pd.DataFrame) -> pd.DataFrame:
             rows = group.sort_values(["_u", "_key"]).head(used)
@@ -115,15 +120,24 @@ class IsolationForest(Detector):
             self.fit_bounds(normals, fraction)
         return self
 
-    def packed(self) -> dict[str, np.ndarray]:
-        """The node table as one array per field, indexed by tree and node."""
-        shape = (self.nodes["tree"].nunique(), int(self.nodes["node"].max()) + 1)
+    def packed(self) -> dict:
+        """The node table as one array per field, in the layout ``forest_scores`` walks."""
+        nodes = self.nodes
+        width = int(nodes["node"].max()) + 1
+        trees = nodes["tree"].nunique()
+        at = (nodes["tree"] * width + nodes["node"]).to_numpy()
+        leaf = (nodes["feature"] < 0).to_numpy()
+        fields = {
+            "feature": np.where(leaf, 0, nodes["feature"]),
+            "split": np.where(leaf, np.inf, nodes["split"]),
+            "left": np.where(leaf, at, nodes["tree"] * width + nodes["left"]),
+            "path": nodes["path"].to_numpy(),
+        }
         out = {}
-        for field in ("feature", "split", "left", "right", "path"):
-            grid = np.zeros(shape, dtype="float64" if field in ("split", "path") else "int32")
-            grid[self.nodes["tree"], self.nodes["node"]] = self.nodes[field]
-            out[field] = grid
-        return out
+        for name, values in fields.items():
+            out[name] = np.zeros(trees * width, dtype="float64" if name in ("split", "path") else "int64")
+            out[name][at] = values
+        return out | {"root": np.arange(trees) * width, "depth": tree_depth(self.used)}
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """2^(-mean path / expected path): between 0 and 1, higher is more anomalous."""

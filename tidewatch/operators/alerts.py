@@ -166,12 +166,13 @@ def acknowledged_alerts(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def alerts_without_ack(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    return alerts.join(acks, F.col("id") == F.col("alert_id"), "left_anti")
+    acked = acks.select("alert_id").distinct()  # many acknowledgements of one alert become one row per task
+    return alerts.join(acked, F.col("id") == F.col("alert_id"), "left_anti")
 
 
 def acks_without_alert(alerts: DataFrame, acks: DataFrame) -> DataFrame:
     """Acknowledgements of alerts that do not exist."""
-    return acks.join(alerts, F.col("id") == F.col("alert_id"), "left_anti")
+    return acks.join(alerts.select("id"), F.col("id") == F.col("alert_id"), "left_anti")
 
 
 def stream_stats(df: DataFrame, flag: str = "is_alert", time: str = "ts") -> DataFrame:

@@ -54,8 +54,19 @@ def rounded(df: DataFrame, columns: Sequence[str], places: int = 6) -> DataFrame
 
 # ---- shared starting points ---------------------------------------------------------------------
 
+# A fit reads its table several times. The flows and metrics views end in a shuffle, so where a query fits a
+# model on them they are written once, and every later pass is a narrow read without that shuffle.
+
+def flow_view(spark: SparkSession, folder: str) -> DataFrame:
+    return durable(views.flows(spark, folder))
+
+
+def metric_view(spark: SparkSession, folder: str) -> DataFrame:
+    return durable(views.metrics(spark, folder))
+
+
 def flow_rows(spark: SparkSession, folder: str) -> DataFrame:
-    return fe.add_network_features(views.flows(spark, folder))
+    return fe.add_network_features(flow_view(spark, folder))
 
 
 def flow_model(spark: SparkSession, folder: str, fraction: float | None = 0.92) -> tuple[DataFrame, ZScoreDetector]:
@@ -64,7 +75,7 @@ def flow_model(spark: SparkSession, folder: str, fraction: float | None = 0.92)
 
 
 def metric_model(spark: SparkSession, folder: str, fraction: float | None = 0.92) -> tuple[DataFrame, ZScoreDetector]:
-    rows = views.metrics(spark, folder)
+    rows = metric_view(spark, folder)
     return rows, ZScoreDetector(METRIC_FEATURES).fit(fe.only_normal(rows), fraction)
 
 
@@ -75,7 +86,7 @@ def log_model(spark: SparkSession, folder: str) -> tuple[DataFrame, ZScoreDetect
 
 def metric_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Three scores per metric record; the third is absent where a host had a single connection."""
-    rows = views.metrics(spark, folder)
+    rows = metric_view(spark, folder)
     scaler = scaling.Standardizer.fit(fe.only_normal(rows), METRIC_FEATURES)
     detectors = {
         "if_score": ZScoreDetector(METRIC_FEATURES[:4], scaler),
@@ -92,7 +103,7 @@ def flow_predictions(spark: SparkSession, folder: str) -> tuple[DataFrame, float
 
 
 def flow_pipeline(spark: SparkSession, folder: str) -> tuple[DataFrame, Pipeline]:
-    raw = views.flows(spark, folder)
+    raw = flow_view(spark, folder)
     detector = ZScoreDetector(FLOW_FEATURES).fit(fe.only_normal(fe.add_network_features(raw)))
     return raw, Pipeline("network", "flow_id", {"if_score": detector}, detector.threshold,
                          features=["src_ip", "dst_ip", "dst_port"])
@@ -831,7 +842,7 @@ def sql_functions(spark: SparkSession, folder: str) -> DataFrame:
 # ---- learned detectors (no closed form in SQL) --------------------------------------------------
 
 def _metric_normals(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = views.metrics(spark, folder)
+    rows = metric_view(spark, folder)
     return rows, fe.only_normal(rows)
 
 
@@ -926,7 +937,7 @@ def custom_scorer(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _clients(spark: SparkSession, folder: str) -> DataFrame:
-    return ordering.partition_clients(views.metrics(spark, folder), 3, ["ts", "rec_id"])
+    return durable(ordering.partition_clients(views.metrics(spark, folder), 3, ["ts", "rec_id"]))
 
 
 def _federated(spark: SparkSession, folder: str) -> tuple[DataFrame, fed.FederatedModel]:
