@@ -18,6 +18,7 @@ import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BUCKETS = 4096
 
@@ -192,46 +193,36 @@ def _quantiles_of(
     for r in rows.groupBy(*by, "_bucket").count().collect():
         counts.setdefault(tuple(r[c] for c in by), {})[r["_bucket"]] = r["count"]
 
-    wanted, before = {}, {}
+    targets = []  # (group, bucket, rank inside the bucket, rank in the group)
     for key, sizes in counts.items():
-        n = sum(sizes.values())
+        n, seen = sum(sizes.values()), 0
         ranks = sorted({k for f in fractions for k in _rank_pair(f, n)[:2]})
-        seen = 0
         for bucket in sorted(sizes):
-            inside = [k for k in ranks if seen <= k < seen + sizes[bucket]]
-            if inside:
-                wanted[(key, bucket)] = inside
-                before[(key, bucket)] = seen
+            targets += [(*key, bucket, k - seen, k) for k in ranks if seen <= k < seen + sizes[bucket]]
             seen += sizes[bucket]
-    if not wanted:
+    if not targets:
         return {}
 
-    test = F.lit(False)
-    for key, bucket in wanted:
-        same = F.col("_bucket") == bucket
-        for c, v in zip(by, key):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        test = test | same
-    needed = rows.where(test).groupBy(*by, "_bucket", "_value").count()
+    schema = T.StructType([T.StructField(f"_g{i}", rows.schema[c].dataType) for i, c in enumerate(by)] + [
+        T.StructField("_in", T.IntegerType()), T.StructField("_rank", T.LongType()), T.StructField("_place", T.LongType()),
+    ])
+    few = F.broadcast(rows.sparkSession.createDataFrame(targets, schema))  # two ranks per fraction and group
+    needed = (
+        rows.where(F.col("_bucket").isin(sorted({t[-3] for t in targets})))
+        .groupBy(*by, "_bucket", "_value").count()
+    )
     inside = Window.partitionBy(*by, "_bucket").orderBy("_value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = needed.withColumn("_upto", F.sum("count").over(inside))
-    hit = F.lit(False)
-    for (key, bucket), ranks in wanted.items():
-        same = F.col("_bucket") == bucket
-        for c, v in zip(by, key):
-            same = same & F.col(c).eqNullSafe(F.lit(v))
-        local = [k - before[(key, bucket)] for k in ranks]
-        at = F.lit(False)
-        for k in local:
-            at = at | ((F.col("_upto") - F.col("count") <= k) & (F.col("_upto") > k))
-        hit = hit | (same & at)
+    same = F.col("_bucket") == F.col("_in")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    hits = (
+        needed.withColumn("_upto", F.sum("count").over(inside))
+        .join(few, same)
+        .where((F.col("_upto") - F.col("count") <= F.col("_rank")) & (F.col("_upto") > F.col("_rank")))
+    )
     at_rank: dict[tuple, dict[int, float]] = {}
-    for r in ranked.where(hit).collect():  # at most two values per fraction and group
-        key = tuple(r[c] for c in by)
-        base = before[(key, r["_bucket"])]
-        for k in wanted[(key, r["_bucket"])]:
-            if r["_upto"] - r["count"] <= k - base < r["_upto"]:
-                at_rank.setdefault(key, {})[k] = r["_value"]
+    for r in hits.collect():  # one row per target
+        at_rank.setdefault(tuple(r[c] for c in by), {})[r["_place"]] = r["_value"]
 
     result = {}
     for key, sizes in counts.items():
