@@ -16,7 +16,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.explain import sorted_attribution
-from tidewatch.operators.ordering import bucket_total
 
 MAX_BACKGROUND = 200
 EXACT_FEATURES = 10  # 2^d feature sets per record up to here, sampled orders beyond
@@ -92,7 +91,8 @@ def shapley(
             yield pd.Series(rows, dtype="object")
 
     # A few alerts can sit in one partition, and each costs thousands of scores: spread them first.
-    spread = df.repartition(bucket_total(df)) if not df.isStreaming else df
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    spread = df if df.isStreaming else df.repartition(tasks)
     found = spread.withColumn("_phi", attribute(F.struct(*value)))
     parts = {c: F.round(F.get("_phi", i), 6) for i, c in enumerate(features)}
     return found.withColumn(name, sorted_attribution(parts)).drop("_phi")
