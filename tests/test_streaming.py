@@ -51,15 +51,11 @@ def test_alert_store(spark, folder, tmp_path):
     assert "PartitionFilters: [isnotnull(modality" in text
 
 
-def event_schema(spark, folder):
-    return views.table(spark, folder, "events").schema
-
-
 @pytest.fixture(scope="module")
 def feed(spark, folder, tmp_path_factory):
     """Flows as several JSON files."""
     path = tmp_path_factory.mktemp("feed") / "flows"
-    rows = views.flows(spark, folder).withColumn("flow_id", F.col("flow_id"))
+    rows = views.flows(spark, folder)
     rows.repartition(4).write.json(str(path))
     return str(path), rows.schema
 

@@ -81,7 +81,8 @@ def metric_model(spark: SparkSession, folder: str, fraction: float | None = 0.92
 
 def log_model(spark: SparkSession, folder: str) -> tuple[DataFrame, ZScoreDetector]:
     rows = fe.message_length(views.logs(spark, folder))
-    return rows, ZScoreDetector(["message_length"]).fit(fe.only_normal(rows))
+    lengths = durable(rows.select("message_length", "is_anomaly"))  # the fit reads the texts once
+    return rows, ZScoreDetector(["message_length"]).fit(fe.only_normal(lengths))
 
 
 def metric_scores(spark: SparkSession, folder: str) -> DataFrame:
