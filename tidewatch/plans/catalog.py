@@ -536,7 +536,7 @@ def verdict(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def drift_compare(spark: SparkSession, folder: str) -> DataFrame:
-    """A detector learned on the first half of the customers, and one learned on all, on the second half."""
+    """A detector learned on the even flows, and one learned on all, both evaluated on the odd flows."""
     rows = flow_rows(spark, folder).withColumn("fresh", F.col("flow_id") % 2 == 1)
     old = ZScoreDetector(FLOW_FEATURES).fit(fe.only_normal(rows.where(~F.col("fresh"))))
     new = ZScoreDetector(FLOW_FEATURES).fit(fe.only_normal(rows))
