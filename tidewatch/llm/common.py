@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import durable
 
-__all__ = ["durable", "documents", "same", "numbered", "word_count"]
+__all__ = ["durable", "documents", "numbered", "ordered_rows", "word_count"]
 
 #: Words `[^\x20\x09-\x0D]+` for Spark's own regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,14 +22,6 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    """Equality of columns of both sides in which null equals null."""
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[name])
-    return condition
-
-
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str, slice_rows: int = 20_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in a scattered but repeatable order.
 
@@ -60,3 +52,26 @@ def _matches(by: list[str]) -> Column:
     for c in by:
         condition = condition & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     return condition
+
+
+def ordered_rows(docs: DataFrame, name: str = "doc") -> DataFrame:
+    """Add a long that tells documents apart and rises with doc_id, nulls first; documents are rows equal in id and text.
+
+    Where ids are unique integers, it is the id itself and nothing moves. Otherwise the distinct (id, text hash) pairs
+    are range-partitioned and numbered; only row counts per partition meet in one task.
+    """
+    if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        if docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():
+            return docs.withColumn(name, F.col("doc_id").cast("long"))
+    text_hash = F.xxhash64("text")
+    order = [F.col("_id").asc_nulls_first(), F.col("_hash")]
+    pairs = docs.select(F.col("doc_id").alias("_id"), text_hash.alias("_hash")).distinct()
+    # monotonically_increasing_id is the partition in its upper bits and the row of the partition in its lower 33.
+    placed = durable(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftrightunsigned("_at", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_part")).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    named = placed.withColumn("_p", part).join(starts, F.col("_p") == F.col("_part")).select(
+        "_id", "_hash", (F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(name))
+    return docs.withColumn("_own", text_hash).join(
+        named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))).select(*docs.columns, name)

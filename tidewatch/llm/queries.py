@@ -7,12 +7,13 @@ from .entropy_mixing import op4_entropy_mix
 from .kd_sharding import op9_kd_tree_shards
 from .parity_join import op8_parity_sketch_join
 from .quality import op5_quality_rules
+from .substring_dedup import op3_repeated_substrings
 from .token_counts import op2_section_tokens
 from .token_files import op6_token_files
 from .url_filter import op7_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_benchmark_suffix_search, op2_section_tokens, op4_entropy_mix, op5_quality_rules, op6_token_files, op7_url_filter,
+    op1_benchmark_suffix_search, op2_section_tokens, op3_repeated_substrings, op4_entropy_mix, op5_quality_rules, op6_token_files, op7_url_filter,
     op8_parity_sketch_join, op9_kd_tree_shards,
 )}
 ORACLES: dict[str, str] = {}
