@@ -4,9 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tidewatch.llm import decontamination, entropy_mixing, parity_join, quality, token_files
+from tidewatch.llm.common import documents, durable
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break the base rules or that the classifier rejects go."""
+    return quality.good_documents(docs, documents(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, on five-word shingles with a similarity of 0.8 or more, the first stays."""
+    return parity_join.one_of_each(docs, width=5, threshold=(80, 100))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.clean_documents(docs, documents(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document is repeated as often as the mix takes it."""
+    return entropy_mixing.mix_documents(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents are written as token ids and read back."""
+    return token_files.token_digest(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("mixing sources to target weights", source_mixing),
+    ("token-ID / binary output", token_output),
+]
+
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages; what each returns is stored before the next one reads it."""
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES:
+        docs = durable(stage(spark, docs, sf_dir))
+    return docs

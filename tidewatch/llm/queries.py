@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontamination import op1_benchmark_suffix_search
 from .entropy_mixing import op4_entropy_mix
 from .kd_sharding import op9_kd_tree_shards
+from .line_templates import op10_line_templates
 from .parity_join import op8_parity_sketch_join
 from .quality import op5_quality_rules
 from .substring_dedup import op3_repeated_substrings
@@ -14,6 +15,6 @@ from .url_filter import op7_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_benchmark_suffix_search, op2_section_tokens, op3_repeated_substrings, op4_entropy_mix, op5_quality_rules, op6_token_files, op7_url_filter,
-    op8_parity_sketch_join, op9_kd_tree_shards,
+    op8_parity_sketch_join, op9_kd_tree_shards, op10_line_templates,
 )}
 ORACLES: dict[str, str] = {}

@@ -93,11 +93,13 @@ class Prefix:
     _inverse = np.ones(1, np.uint64)
 
     def __init__(self, data: np.ndarray):
+        """``data``: bytes, or 64-bit hashes of words for stretches of words."""
         n = len(data)
         self._grow(n + 1)
         self.sums = np.zeros(n + 1, np.uint64)
         # A value per byte that is far from linear in the byte, so that short texts spread as well.
-        np.cumsum(_BYTE_VALUES[data] * Prefix._powers[:n], out=self.sums[1:])
+        values = _BYTE_VALUES[data] if data.dtype == np.uint8 else mix(data)
+        np.cumsum(values * Prefix._powers[:n], out=self.sums[1:])
 
     @classmethod
     def _grow(cls, n: int) -> None:
