@@ -58,7 +58,7 @@ def ordered_rows(docs: DataFrame, name: str = "doc") -> DataFrame:
     """Add a long that tells documents apart and rises with doc_id, nulls first; documents are rows equal in id and text.
 
     Where ids are unique integers, it is the id itself and nothing moves. Otherwise the distinct (id, text hash) pairs
-    are range-partitioned and numbered; only row counts per partition meet in one task.
+    are range-partitioned and numbered; only row counts per partition meet in one task. ``docs`` has no such column yet.
     """
     if docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
         if docs.groupBy("doc_id").count().where((F.col("count") > 1) | F.col("doc_id").isNull()).isEmpty():

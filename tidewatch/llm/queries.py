@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracles
 from .decontamination import op1_benchmark_suffix_search
 from .entropy_mixing import op4_entropy_mix
 from .kd_sharding import op9_kd_tree_shards
@@ -17,4 +18,6 @@ QUERIES = {f.__name__: f for f in (
     op1_benchmark_suffix_search, op2_section_tokens, op3_repeated_substrings, op4_entropy_mix, op5_quality_rules, op6_token_files, op7_url_filter,
     op8_parity_sketch_join, op9_kd_tree_shards, op10_line_templates,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_suffix_search": oracles.BENCHMARK_SUFFIX_SEARCH, "op8_parity_sketch_join": oracles.PARITY_SKETCH_JOIN,
+}
