@@ -170,11 +170,29 @@ def test_fusion_config_round_trip(spark, tmp_path):
         FusionConfig(weights={"if_score": 0.4})
 
 
+def test_forest_draws_from_the_whole_table(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") / 60_000).alias("x"), F.rand(3).alias("y"))
+    forest = IsolationForest(["x", "y"], trees=20, sample=256).fit(rows, "k", None)
+    assert forest.nodes["tree"].nunique() == 20
+    # Splits of x are spread over the whole range, as the samples are.
+    splits = forest.nodes[(forest.nodes["feature"] == 0)]["split"] * forest.scaler.std[0] + forest.scaler.mean[0]
+    assert splits.min() < 0.05 and splits.max() > 0.95
+
+
+def test_federated_client_without_normals(spark, points):
+    rows = points.withColumn("client", F.when(F.col("is_anomaly"), 9).otherwise((F.col("k") % 2).cast("int")))
+    model = fed.federated_fit(rows, FEATURES, hidden=(4, 2), rounds=1, epochs=1)
+    found = {r["client"]: r for r in fed.federated_evaluate(rows, model, threshold=1.0).collect()}
+    assert set(found) == {"0", "1", "9"} and found["9"]["loss"] is None and found["9"]["n_samples"] > 0
+
+
 def test_shapley_sums_to_the_difference(spark, points):
     detector = PcaReconstruction(FEATURES + [], 1).fit(points.where("not is_anomaly"))
     score = detector.on_arrays()
     background = points.where("k < 20")
-    found = shapley(points.where("is_anomaly"), FEATURES, score, background).collect()
+    found = shapley(points.where("is_anomaly"), FEATURES, score, background, "exact").collect()
+    with pytest.raises(ValueError):
+        shapley(points, FEATURES, score, background, "exact", background_rows=19)
     base = score(background.select(FEATURES).toPandas().to_numpy()).mean()
     for row in found:
         whole = score(np.array([[row[c] for c in FEATURES]]))[0]

@@ -73,7 +73,54 @@ def test_hot_value_is_split_over_buckets(spark, skewed):
     df = table(spark, s, y)
     cut = ordering.Buckets.of(df, ["s", "k"], 32)
     sizes = [r["count"] for r in df.groupBy(cut.assign(df).alias("b")).count().collect()]
-    assert cut.hot and max(sizes) < 3.5 * len(s) / 32
+    assert len(cut.cuts) > 20 and max(sizes) < 3.5 * len(s) / 32
+
+
+@pytest.mark.parametrize("buckets", [1000, 4000])
+def test_row_index_over_a_year_of_days(spark, buckets):
+    n = 40_000
+    days = spark.range(n).select(F.col("id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(365))).alias("day")).repartition(5)
+    rows = days.select(F.col("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")).alias("ts"))
+    cut = ordering.Buckets.of(rows, ["ts", "k"], buckets)
+    assert len(cut.cuts) > buckets / 2
+    counts = rows.groupBy(cut.assign(rows).alias("b")).count().toPandas()["count"]
+    assert counts.sum() == n and counts.max() < 20 * n / buckets
+    want = {r["k"]: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r["ts"], r["k"])))}
+    got = ordering.row_index(rows, ["ts", "k"], buckets=buckets).collect() if buckets == 1000 else []
+    assert all(want[r["k"]] == r["row_index"] for r in got)
+
+
+def test_running_totals_keep_null_groups(spark):
+    rows = spark.createDataFrame([(None, 1.0, 1), (None, 2.0, 2), ("a", 1.0, 5), ("a", None, 7)], "g string, s double, y int")
+    got = ordering.running_totals(rows, {"cum": F.col("y")}, ["s"], ["g"], 4, totals=True).collect()
+    assert sorted((str(r["g"]), r["s"] or 0.0, r["cum"], r["cum_total"]) for r in got) == [
+        ("None", 1.0, 1, 3), ("None", 2.0, 3, 3), ("a", 0.0, 7, 12), ("a", 1.0, 12, 12)]
+
+
+def test_a_measured_text_is_not_shuffled(spark, folder):
+    from tidewatch.plans import catalog
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lengths = catalog.message_lengths(spark, folder)
+        rows, _ = catalog.log_model(spark, folder)
+        for df in (lengths, rows.select("log_id", "message_length", "is_anomaly")):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            above = plan.split("Join")[0] if "Join" in plan else ""
+            assert "length(" not in above and "message#" not in above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_orphans_and_last_writes(spark):
+    from tidewatch.operators import alerts as al
+
+    alerts = spark.createDataFrame([("a", 1, "x"), ("a", 1, "z"), ("a", 1, "y"), ("b", 2, "q")], "id string, timestamp int, v string")
+    for parts in (1, 3):
+        assert {r["id"]: r["v"] for r in al.dedupe_alerts(alerts.repartition(parts)).collect()} == {"a": "z", "b": "q"}
+    acks = spark.createDataFrame([("a", 1), ("c", 2), ("c", 3), ("c", 3), (None, 4)], "alert_id string, n int")
+    assert sorted(r["n"] for r in al.acks_without_alert(alerts, acks).collect()) == [2, 3, 3, 4]
 
 
 def test_running_totals_per_group(spark, skewed):

@@ -12,15 +12,13 @@ from dataclasses import asdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.detectors.base import Detector
-from tidewatch.functions.records import uniform_hash
 from tidewatch.operators.scaling import Standardizer
 from tidewatch.schemas import FIT_PERCENTILE
 
-POOL = 16_384  # rows the samples of all trees are drawn from
 NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
 
 
@@ -95,13 +93,16 @@ class IsolationForest(Detector):
         self.scaler = Standardizer.fit(normals, self.features)
         n = self.scaler.rows
         self.used = min(self.sample, n)
-        pool = normals if n <= POOL else normals.where(uniform_hash(F.col(key), self.seed) < POOL / n)
-        share = min(1.0, (1.5 * self.used + 32) / min(n, POOL))
+        # Every tree draws from all rows by a hash of its own; what it draws has a size set by the parameters.
+        share, whole = min(1.0, (1.5 * self.used + 32) / n) if n else 1.0, 1 << 40
+
+        def hashed(tree: Column) -> Column:
+            return F.xxhash64("_key", tree, F.lit(self.seed))
+
+        mine = F.filter(F.sequence(F.lit(0), F.lit(self.trees - 1)), lambda t: F.pmod(hashed(t), F.lit(whole)) < int(share * whole))
         drawn = (
-            pool.select(F.col(key).cast("string").alias("_key"), self.scaler.vector().alias("_x"))
-            .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-            .withColumn("_u", F.xxhash64("_key", "tree", F.lit(self.seed)))
-            .where(F.pmod("_u", F.lit(1_000_000).cast("long")) < int(share * 1_000_000))
+            normals.select(F.col(key).cast("string").alias("_key"), self.scaler.vector().alias("_x"))
+            .withColumn("tree", F.explode(mine)).withColumn("_u", hashed(F.col("tree")))
         )
         seed, used = self.seed, self.used
         limit = tree_depth(used)

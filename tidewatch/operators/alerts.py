@@ -105,8 +105,12 @@ def union_modalities(*alerts: DataFrame) -> DataFrame:
 
 
 def dedupe_alerts(alerts: DataFrame, order: str = "timestamp") -> DataFrame:
-    """Last write per id. Kept as an aggregation, so many copies of one id are reduced inside each task."""
-    return alerts.groupBy("id").agg(F.max_by(F.struct(*alerts.columns), F.col(order)).alias("a")).select("a.*")
+    """Last write per id; of equal times the one whose fields as text are last.
+
+    Kept as an aggregation, so many copies of one id are reduced inside each task.
+    """
+    whole = F.struct(*alerts.columns)
+    return alerts.groupBy("id").agg(F.max_by(whole, F.struct(F.col(order), F.to_json(whole))).alias("a")).select("a.*")
 
 
 def check_severity(severity: str | None) -> None:
@@ -171,8 +175,12 @@ def alerts_without_ack(alerts: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def acks_without_alert(alerts: DataFrame, acks: DataFrame) -> DataFrame:
-    """Acknowledgements of alerts that do not exist."""
-    return acks.join(alerts.select("id"), F.col("id") == F.col("alert_id"), "left_anti")
+    """Acknowledgements of alerts that do not exist.
+
+    The ids are compared once each; their rows then follow by a join that Spark can split, as its right side is unique.
+    """
+    orphans = acks.select("alert_id").distinct().join(alerts.select("id"), F.col("id") == F.col("alert_id"), "left_anti")
+    return acks.join(orphans.withColumnRenamed("alert_id", "_orphan"), F.col("alert_id").eqNullSafe(F.col("_orphan"))).drop("_orphan")
 
 
 def stream_stats(df: DataFrame, flag: str = "is_alert", time: str = "ts") -> DataFrame:

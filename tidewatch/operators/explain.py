@@ -78,60 +78,63 @@ def most_anomalous(df: DataFrame, score: str, key: str, label: str = "is_anomaly
     return df.where(F.col(label).cast("int") == 1).orderBy(F.desc(score), key).limit(1)
 
 
+#: What an explanation says where a record has no value: by field of the alert record, the column and its default.
+_EXPLAINED = {
+    "source": (None, "unknown"), "anomaly_type": ("anomaly_type", "unknown"), "severity": ("severity", "unknown"),
+    **{f"mitre_{c}": (c, "Unknown") for c in ("tactic", "technique")},
+    **{f"mitre_{c}": (c, "N/A") for c in ("tactic_id", "technique_id")},
+    **{c: (c, "") for c in ("description", "recommended_action")},
+}
+
+
 def build_explanation(df: DataFrame, features: Sequence[str], score: str = "fused_score", attribution: str = "attribution",
                       time: str = "ts", origin: str = "source") -> DataFrame:
-    """Explanation of each record next to its knowledge columns; unset fields read 'Unknown' or 'N/A'."""
-    def text(column: str, default: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(default)) if column in df.columns else F.lit(default)
-
-    values = F.create_map(*[
-        x for c in features for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("N/A")))
-    ])
+    """Add the fields of the alert record that explain it; those without a value get the defaults of ``_EXPLAINED``."""
     top = top_features(F.col(attribution), 3)
-    return df.withColumns({
-        "fused_score": F.round(score, 4),
-        "severity": text("severity", "unknown"),
-        "mitre_tactic": text("tactic", "Unknown"),
-        "mitre_tactic_id": text("tactic_id", "N/A"),
-        "mitre_technique": text("technique", "Unknown"),
-        "mitre_technique_id": text("technique_id", "N/A"),
-        "description": text("description", ""),
-        "recommended_action": text("recommended_action", ""),
-        "anomaly_type": text("anomaly_type", "unknown"),
-        "source": text(origin, "unknown"),
-        "timestamp": F.col(time),
-        "top_features": top,
-        "feature_values": F.map_filter(values, lambda k, _: F.array_contains(top, k)),
-    })
+    shown = F.create_map(*[x for c in features for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("N/A")))])
+    found = {
+        "timestamp": F.col(time), "fused_score": F.round(score, 4), "top_features": top,
+        "feature_values": F.map_filter(shown, lambda k, _: F.array_contains(top, k)),
+    }
+    for field in ALERT_SCHEMA.names:
+        if field in _EXPLAINED:
+            column, default = _EXPLAINED[field]
+            column = column or origin
+            found[field] = F.coalesce(F.col(column), F.lit(default)) if column in df.columns else F.lit(default)
+    return df.withColumns(found)
 
 
 def explanation_narrative(df: DataFrame, name: str = "narrative") -> DataFrame:
-    """Plain text for an explanation, with its top features and their values."""
-    pairs = F.array_join(
+    """One line of facts for an explanation: when and where, how strong, what drove it, what it may be, what to do."""
+    drivers = F.array_join(
         F.transform("top_features", lambda f: F.concat(f, F.lit("="), F.try_element_at("feature_values", f))), ", "
     )
-    return df.withColumn(name, F.concat(
-        F.lit("A "), F.upper("severity"), F.lit(" severity anomaly was detected on "), F.col("source"),
-        F.lit(" at "), F.col("timestamp").cast("string"),
-        F.lit(". The anomaly score is "), _three_places(F.col("fused_score")),
-        F.lit(". This matches the MITRE ATT&CK technique "), F.col("mitre_technique"),
-        F.lit(" ("), F.col("mitre_technique_id"), F.lit(") under tactic "), F.col("mitre_tactic"),
-        F.lit(" ("), F.col("mitre_tactic_id"), F.lit("). The top contributing features are: "), pairs,
-        F.lit(". Description: "), F.col("description"),
-        F.lit(" Recommended action: "), F.col("recommended_action"),
+    return df.withColumn(name, F.concat_ws(
+        " | ",
+        F.concat(F.col("timestamp").cast("string"), F.lit(" "), F.col("source")),
+        F.concat(F.lit("severity "), F.col("severity"), F.lit(", score "), _three_places(F.col("fused_score"))),
+        F.concat(F.lit("driven by "), drivers),
+        _technique("mitre_tactic", "mitre_tactic_id", "mitre_technique", "mitre_technique_id"),
+        "description",
+        F.concat(F.lit("next: "), F.col("recommended_action")),
     ))
 
 
 def alert_narrative(score: Column) -> Column:
-    """Plain text for an alert, from its type, modality and knowledge columns."""
-    return F.concat(
-        F.lit("A "), F.upper("severity"), F.lit(" severity anomaly ("), F.col("anomaly_type"),
-        F.lit(") was detected via "), F.col("modality"), F.lit(" analysis with a fused score of "), _three_places(score),
-        F.lit(". This corresponds to MITRE ATT&CK technique "), F.col("technique"),
-        F.lit(" ("), F.col("technique_id"), F.lit(") under tactic "), F.col("tactic"),
-        F.lit(". "), F.col("description"), F.lit(" Recommended action: "), F.col("recommended_action"),
+    """One line of facts for an alert, from its type, modality and knowledge columns."""
+    return F.concat_ws(
+        " | ",
+        F.concat("modality", F.lit(" "), "anomaly_type"),
+        F.concat(F.lit("severity "), F.col("severity"), F.lit(", score "), _three_places(score)),
+        _technique("tactic", "tactic_id", "technique", "technique_id"),
+        "description",
+        F.concat(F.lit("next: "), F.col("recommended_action")),
     )
 
 
+def _technique(tactic: str, tactic_id: str, technique: str, technique_id: str) -> Column:
+    return F.concat(technique_id, F.lit(" "), technique, F.lit(" < "), tactic_id, F.lit(" "), tactic)
+
+
 def _three_places(score: Column) -> Column:
     return F.format_string("%.3f", score)

@@ -84,10 +84,12 @@ class FederatedModel:
             flat, dims, scales = shared.value
             layers = nn.unpack(flat, dims)
             order = {k: i for i, k in enumerate(scales)}
+            # A client without normals has no scaling of its own and gets the mean of the others'.
             mean = np.stack([m for m, _ in scales.values()])
             std = np.stack([s for _, s in scales.values()])
+            mean, std = np.vstack([mean, mean.mean(axis=0)]), np.vstack([std, std.mean(axis=0)])
             for batch in batches:
-                at = batch["_client"].map(order).to_numpy()
+                at = batch["_client"].map(order).fillna(len(order)).astype("int64").to_numpy()
                 x = (batch[names].to_numpy(dtype="float64") - mean[at]) / std[at]
                 yield pd.Series(nn.errors(x, layers))
 
@@ -176,14 +178,14 @@ def federated_evaluate(
     df: DataFrame, model: FederatedModel, client: str = "client", label: str = "is_anomaly",
     threshold: float | None = None,
 ) -> DataFrame:
-    """Per client: examples, ROC AUC, F1 and the loss on its normals; threshold p92 of its scores if none is given."""
+    """Per client: examples, ROC AUC, F1 and the loss on its normals (null without any); threshold p92 of its scores if none is given."""
     scored = model.score(df, client).select(F.col(client).cast("string").alias("client"), label, "score")
     scored = durable(scored)
     if threshold is None:
         found = exact_quantiles(scored, "score", [FIT_PERCENTILE], ["client"])
         limits = {k[0]: v[FIT_PERCENTILE] for k, v in found.items()}
     else:
-        limits = {str(k): threshold for k in model.scalers}
+        limits = {r["client"]: threshold for r in scored.select("client").distinct().collect()}  # one row per client
     metrics = evaluate(scored, "score", label, limits, by="client").select("client", "roc_auc", "f1", "n_samples")
     loss = scored.where(~F.col(label)).groupBy("client").agg(F.avg("score").alias("loss"))
-    return metrics.join(loss, "client")
+    return metrics.join(loss, "client", "left")

@@ -4,15 +4,15 @@ A window without a partition key would sort the whole table in one task. Here th
 first cut into many buckets of about equal row count; the only window across buckets runs over the
 bucket totals, a table of at most ``buckets`` rows per group.
 
-Two safeguards keep a bucket small even if one value holds a third of all rows: a value that fills
-whole buckets is found from the repeated cut points and is split further by the tie-break column,
-and counts are summed per task before any shuffle.
+Two safeguards keep a bucket small even if one value holds a third of all rows: cut points are pairs of
+the value and the tie-break column, so that such a value is cut like any other stretch of the order, and
+counts are summed per task before any shuffle. The number of buckets grows with the rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
@@ -20,13 +20,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 1_000_000
+SAMPLED_PER_BUCKET = 40
 
 
-def bucket_total(df: DataFrame, buckets: int | None = None) -> int:
-    """How many buckets to cut: as many as the session has shuffle partitions, within fixed limits."""
+def bucket_total(df: DataFrame, rows: int, buckets: int | None = None) -> int:
+    """How many buckets to cut: as many as the session has shuffle partitions, or more if the rows need more."""
     wanted = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(wanted, MAX_BUCKETS))
+    return max(2, wanted, -(-rows // ROWS_PER_BUCKET))
 
 
 def position_in(cuts: Sequence[float], value: Column) -> Column:
@@ -55,54 +56,46 @@ def _as_double(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _fractions(n: int) -> list[float]:
-    return [i / n for i in range(1, n)]
-
-
 @dataclass
 class Buckets:
-    """Cut points of one order column, with finer cuts inside the values that repeat a lot."""
+    """Cut points along an order: a number, and a second one that splits values which many rows share."""
 
     order_by: Sequence[str]
     cuts: list[float]
-    hot: list[float] = field(default_factory=list)
-    hot_cuts: list[list[float]] = field(default_factory=list)
+    ties: list[float]
 
     @classmethod
     def of(cls, df: DataFrame, order_by: Sequence[str], buckets: int | None = None) -> Buckets:
-        n = bucket_total(df, buckets)
-        first = _as_double(df, order_by[0])
-        accuracy = max(10_000, 20 * n)
-        found = df.agg(F.percentile_approx(first, _fractions(n), accuracy)).first()[0] or []
-        cuts, times = np.unique(np.asarray(found, dtype="float64"), return_counts=True)
-        self = cls(order_by, cuts.tolist())
-        repeated = times > 1
-        if len(order_by) > 1 and repeated.any():
-            hot = cuts[repeated].tolist()
-            parts = int(times.max()) + 1
-            rows = (
-                df.where(first.isin(hot))
-                .groupBy(first.alias("value"))
-                .agg(F.percentile_approx(_as_double(df, order_by[1]), _fractions(parts), accuracy).alias("cuts"))
-                .collect()  # at most n values of at most n cut points each
-            )
-            inner = {r["value"]: sorted(set(r["cuts"] or [])) for r in rows}
-            self.hot = hot
-            self.hot_cuts = [inner.get(v, []) for v in hot]
-        return self
+        """Cut points from a sample of bounded size per bucket. They only place rows: results do not depend on them."""
+        columns = [_as_double(df, c) for c in order_by[:2]]
+        columns += [F.lit(0.0)] * (2 - len(columns))
+        pairs = df.select(*[F.coalesce(F.nanvl(c, F.lit(float("inf"))), F.lit(float("-inf"))).alias(n) for c, n in zip(columns, ("v", "t"))])
+        rows = pairs.count()
+        n = bucket_total(df, rows, buckets)
+        share = min(1.0, 1.2 * n * SAMPLED_PER_BUCKET / max(rows, 1))
+        found = pairs.sample(share, 42) if share < 1 else pairs
+        sample = np.stack([c.to_numpy() for c in found.toArrow().columns], axis=1)
+        sample = sample[np.lexsort((sample[:, 1], sample[:, 0]))]
+        chosen = np.unique(sample[np.arange(1, n) * len(sample) // n], axis=0) if len(sample) else sample
+        return cls(order_by, chosen[:, 0].tolist(), chosen[:, 1].tolist())
 
     def assign(self, df: DataFrame) -> Column:
-        """Bucket number of a row; it never decreases along the order."""
+        """Bucket number of a row, the number of cut points that are not above it; it never decreases along the order."""
+        if not self.cuts:
+            return F.lit(0)
         value = _as_double(df, self.order_by[0])
-        outer = position_in(self.cuts, value)
-        if not self.hot:
-            return outer
+        if len(self.order_by) < 2:
+            return position_in(self.cuts, value)
         tie = _as_double(df, self.order_by[1])
-        width = max(len(c) for c in self.hot_cuts) + 2
-        inner = F.lit(width - 1)
-        for hot, cuts in zip(self.hot, self.hot_cuts):
-            inner = F.when(value == F.lit(hot), position_in(cuts, tie)).otherwise(inner)
-        return outer * width + inner
+        cuts, ties = (F.lit(np.asarray(x, dtype="float64")) for x in (self.cuts, self.ties))
+        steps = [1 << b for b in reversed(range(len(self.cuts).bit_length()))]
+
+        def step(found: Column, size: Column) -> Column:
+            at = found + size - 1
+            reached = (F.get(cuts, at) < value) | ((F.get(cuts, at) == value) & (F.get(ties, at) <= tie))
+            return F.when(reached, found + size).otherwise(found)
+
+        return F.coalesce(F.aggregate(F.lit(np.asarray(steps, dtype="int32")), F.lit(0), step), F.lit(0))
 
 
 def running_totals(
@@ -115,8 +108,8 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums along ``order_by`` (a number, then an optional tie-break), per group.
 
-    With ``totals`` each sum also gets ``<name>_total``, its total in the group. The group columns must
-    not be null. Every expression must be repeatable, as the input is read once for the cut points and
+    With ``totals`` each sum also gets ``<name>_total``, its total in the group. A null is a group like any
+    other. Every expression must be repeatable, as the input is read once for the cut points and
     once for the sums.
     """
     by, order_by = list(by), list(order_by)
@@ -127,13 +120,16 @@ def running_totals(
     earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
     offsets = per_bucket.select(
-        *by,
-        "_bucket",
+        *[F.col(c).alias(f"_by_{c}") for c in by],
+        F.col("_bucket").alias("_by__bucket"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in sums],
         *[F.sum(f"_sum_{n}").over(whole).alias(f"{n}_total") for n in sums if totals],
     )
     # No broadcast hint: the window below needs this same partitioning anyway.
-    joined = keyed.join(offsets, [*by, "_bucket"])
+    here = F.col("_bucket") == F.col("_by__bucket")
+    for c in by:
+        here = here & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    joined = keyed.join(offsets, here)
     inside = Window.partitionBy(*by, "_bucket").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(
         *df.columns,

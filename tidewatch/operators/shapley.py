@@ -2,7 +2,8 @@
 
 The value of a feature set S for a record x is the mean score over the background records with the
 features of S taken from x. Rows stay where they are; the background, at most a few hundred rows, travels
-with the function. All explained rows are whole: there is no cap on how many records may be explained.
+with the function; a larger one is refused, draw it with ``background_sample``. There is no cap on how many records may
+be explained.
 """
 
 from __future__ import annotations
@@ -17,8 +18,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.explain import sorted_attribution
 
-MAX_BACKGROUND = 200
-EXACT_FEATURES = 10  # 2^d feature sets per record up to here, sampled orders beyond
+EXACT_FEATURES = 15  # 2^d feature sets per record; the exact method takes no more
 BLOCK = 32_768  # matrix rows scored at a time
 
 
@@ -61,20 +61,27 @@ def shapley(
     features: Sequence[str],
     scorer: Callable[[np.ndarray], np.ndarray],
     background: DataFrame,
-    method: str = "auto",
+    method: str,
     orders: int = 16,
+    background_rows: int = 200,
     seed: int = 42,
     name: str = "attribution",
 ) -> DataFrame:
-    """Add the attribution of ``scorer`` (a function of a feature matrix) to every row."""
+    """Add the attribution of ``scorer`` (a function of a feature matrix) to every row.
+
+    ``method`` is ``exact`` (all feature sets) or ``sampled`` (``orders`` feature orders). The background may hold
+    ``background_rows`` rows at most.
+    """
     d = len(features)
-    if method not in ("auto", "exact", "sampled"):
+    if method not in ("exact", "sampled"):
         raise ValueError(f"unknown method: {method}")
-    exact = method == "exact" or (method == "auto" and d <= EXACT_FEATURES)
+    exact = method == "exact"
+    if exact and d > EXACT_FEATURES:
+        raise ValueError(f"the exact method takes at most {EXACT_FEATURES} features, got {d}")
     value = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]
-    base = background.select(*value).limit(MAX_BACKGROUND).toPandas().to_numpy(dtype="float64")
-    if not len(base):
-        raise ValueError("background is empty")
+    base = background.select(*value).limit(background_rows + 1).toPandas().to_numpy(dtype="float64")
+    if not 0 < len(base) <= background_rows:
+        raise ValueError(f"background must hold 1 to {background_rows} rows")
     rng = np.random.default_rng(seed)
     half = [rng.permutation(d) for _ in range(max(1, orders // 2))]
     paths = np.array(half + [p[::-1] for p in half])

@@ -210,7 +210,7 @@ C_ALL_ALERTS = C_FLOW_ALERTS + [c for c in C_METRIC_ALERTS if c is not KB] + C_L
 ACKS = ("acks", """SELECT md5('network|' || CAST(l_orderkey AS STRING)) AS alert_id,
    'operator-' || CAST(l_suppkey % 5 AS STRING) AS acknowledged_by,
    CASE WHEN l_returnflag = 'R' THEN 'false alarm' END AS note, CAST(l_shipdate AS TIMESTAMP) AS acknowledged_at
-   FROM lineitem WHERE l_suppkey % 3 = 0""")
+   FROM lineitem""")
 _SEVERITY_ROWS = "(VALUES ('low'), ('medium'), ('high'), ('critical')) AS s(severity)"
 
 
@@ -466,18 +466,13 @@ def _heuristic() -> str:
 
 
 def _narratives() -> str:
-    return with_ctes(C_METRIC_ALERTS, """
-      SELECT id, 'A ' || upper(severity) || ' severity anomaly (' || anomaly_type || ') was detected via metric analysis'
-        || ' with a fused score of #. This corresponds to MITRE ATT&CK technique ' || mitre_technique || ' ('
-        || mitre_technique_id || ') under tactic ' || mitre_tactic || '. ' || description
-        || ' Recommended action: ' || recommended_action AS text
-      FROM malerts
+    known = "mitre_technique_id || ' ' || mitre_technique || ' < ' || mitre_tactic_id || ' ' || mitre_tactic"
+    rest = f"{known} || ' | ' || description || ' | next: ' || recommended_action"
+    return with_ctes(C_METRIC_ALERTS, f"""
+      SELECT id, 'metric ' || anomaly_type || ' | severity ' || severity || ', score # | ' || {rest} AS text FROM malerts
       UNION ALL
-      SELECT CAST(rec_id AS STRING), 'A ' || upper(a.severity) || ' severity anomaly was detected on ' || host || ' at '
-        || strftime(ts, '%Y-%m-%d %H:%M:%S') || '. The anomaly score is #. This matches the MITRE ATT&CK technique '
-        || mitre_technique || ' (' || mitre_technique_id || ') under tactic ' || mitre_tactic || ' (' || mitre_tactic_id
-        || '). The top contributing features are: ' || replace(tops, ',', '=#, ') || '=#. Description: ' || description
-        || ' Recommended action: ' || recommended_action
+      SELECT CAST(rec_id AS STRING), strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || host || ' | severity ' || a.severity
+        || ', score # | driven by ' || replace(tops, ',', '=#, ') || '=# | ' || {rest}
       FROM mtop JOIN malerts a ON a.id = md5('metric|' || CAST(rec_id AS STRING))""")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -37,4 +38,19 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove_at_exit(spark: SparkSession, path: str) -> None:
+    """A lazy result may read the table as long as the session lives; it goes when the driver ends."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        try:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+        except Exception:  # the JVM may be gone; the folder is then left to whoever clears it
+            pass
+
+    atexit.register(remove)

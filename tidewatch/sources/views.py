@@ -90,12 +90,16 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, folder: str) -> DataFrame:
-    """One log record per document; documents without a label keep a null ``is_anomaly``."""
+def logs(spark: SparkSession, folder: str, more: dict[str, Column] | None = None) -> DataFrame:
+    """One log record per document; documents without a label keep a null ``is_anomaly``.
+
+    ``more`` are columns computed from the document before it is joined with its label, so that a text that is only
+    measured does not move.
+    """
     labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "labelled_id")
     toxic = F.col("toxic") == 1
     return (
-        table(spark, folder, "documents")
+        table(spark, folder, "documents").withColumns(more or {})
         .join(labels, F.col("doc_id") == F.col("labelled_id"), "left")
         .select(
             F.col("doc_id").alias("log_id"),
@@ -105,6 +109,7 @@ def logs(spark: SparkSession, folder: str) -> DataFrame:
             F.col("text").alias("message"),
             F.when(F.col("toxic").isNotNull(), toxic).alias("is_anomaly"),
             F.when(toxic & (F.col("quality") == 1), "web_shell").when(toxic, "unauthorized_access").alias("anomaly_type"),
+            *(more or {}),
         )
     )
 
