@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.scaling import Standardizer
+from tidewatch.schemas import ALERT_SCHEMA
 
 
 def sorted_attribution(values: Mapping[str, Column]) -> Column:
