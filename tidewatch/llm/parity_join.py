@@ -7,8 +7,9 @@ they have in common. Chunks with one shingle or none say little; a set may leave
 chunk with every partner. A set with more of them also offers the prefix of its sorted shingles, which covers
 the pairs of two such sets. Bands are so wide that partners lie in one band or in neighbouring ones; a set enters both.
 
-Who shares a chunk is paired with the first of the group only. Pairs that are too far apart by size or by the Hamming
-distance of a 512-bit parity sketch, a lower bound of the difference, are dropped, the rest is verified on the sets.
+Who shares a chunk is paired with the first of the group only, where the order is one of four by the chunk. Pairs that
+are too far apart by size or by the Hamming distance of their parity sketches, a lower bound of the difference, are
+dropped: first by sketches of 512 bits, then by sketches of at least four bits per shingle. The rest is verified on the sets.
 After linked sets have been united, groups whose members are still apart are searched pair by pair, so no link is lost.
 
 Copies are one class from the start, known by hashes of the whole set, and move as one row from each slice of texts.
@@ -79,6 +80,15 @@ class Sets:
         odd = np.bincount(self.text * 512 + bit.astype(np.int64), minlength=512 * len(self.sizes)) & 1
         return np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
 
+    def wide_sketches(self) -> list[bytes]:
+        """Parity sketches of a power of two of bits, at least four per shingle; the longer of two is folded to compare."""
+        bits = np.where(self.sizes > 0, 1 << np.ceil(np.log2(np.maximum(4 * self.sizes, 512))).astype(np.int64), 0)
+        end = np.cumsum(bits)
+        place = mix(self.hashes + np.uint64(15)) & (bits[self.text] - 1).astype(np.uint64)
+        odd = np.bincount((end - bits)[self.text] + place.astype(np.int64), minlength=int(end[-1]) if len(end) else 0) & 1
+        packed = np.packbits(odd.astype(np.uint8)).tobytes()
+        return [packed[(e - n) // 8 : e // 8] for e, n in zip(end.tolist(), bits.tolist())]
+
     def sets(self) -> list[bytes]:
         return [self.hashes[a:b].tobytes() for a, b in zip(self.begin[:-1], self.begin[1:])]
 
@@ -150,8 +160,9 @@ def _describe(width: int):
                 sketch = sets.sketches()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("doc_id").cast(pa.int64()).fill_null(0) if not part.column("doc_id").null_count
-                     else _filled(part.column("doc_id"), one), *map(pa.array, (sets.sizes, one, two)), *[pa.array(sketch[:, i]) for i in range(8)]],
-                    ["doc_id", "node", "n", "c1", "c2", *_SKETCH])
+                     else _filled(part.column("doc_id"), one), *map(pa.array, (sets.sizes, one, two)), *[pa.array(sketch[:, i]) for i in range(8)],
+                     pa.array(sets.wide_sketches(), pa.binary())],
+                    ["doc_id", "node", "n", "c1", "c2", *_SKETCH, "wide"])
 
     return describe
 
@@ -235,9 +246,33 @@ def _close_enough(a: str, b: str, threshold: tuple[int, int]):
 BROADCAST_IDS = 1_000_000
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+def _sketched(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes that the wide sketches do not rule out."""
+    p, q = threshold
+
+    def distant(x: bytes, y: bytes, n: int, m: int) -> bool:
+        x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        return int(np.bitwise_count(x ^ y).sum()) * (p + q) > (n + m) * (q - p)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("x", "y", "n", "m"))
+            yield batch.select(["a", "b"]).filter(pa.array([not distant(*row) for row in zip(x, y, n, m)], pa.bool_()))
+
+    one = classes.select(F.col("rep").alias("a"), F.col("wide").alias("x"), "n")
+    two = classes.select(F.col("rep").alias("b"), F.col("wide").alias("y"), F.col("n").alias("m"))
+    # The bits of a sketch stand most significant first in a byte, so a half of the bytes is a half of the bits.
+    return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(near, "a bigint, b bigint").distinct())
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, compared shingle by shingle."""
     p, q = threshold
+    pairs = _sketched(pairs, classes, threshold)
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
     needed = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes  # at most 8 MB of ids
     texts = docs.select("doc_id", "text")
@@ -274,12 +309,12 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     described = durable(docs.mapInArrow(
-        _describe(width), "doc_id bigint, node bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH)))
+        _describe(width), "doc_id bigint, node bigint, n bigint, c1 bigint, c2 bigint, " + ", ".join(f"{s} bigint" for s in _SKETCH) + ", wide binary"))
     classes = durable(described.where(F.col("n") > 0).groupBy("c1", "c2", "n").agg(
-        F.coalesce(F.min("doc_id"), F.min("node")).alias("rep"), *[F.first(s).alias(s) for s in _SKETCH]))
+        F.coalesce(F.min("doc_id"), F.min("node")).alias("rep"), *[F.first(s).alias(s) for s in (*_SKETCH, "wide")]))
     groups = durable(
-        docs.mapInArrow(_chunk_keys(width, threshold), "key bigint, c1 bigint").repartition("key").sortWithinPartitions("key", "c1")
-        .mapInArrow(_stars, "key bigint, a bigint, b bigint"))
+        docs.mapInArrow(_chunk_keys(width, threshold), "key bigint, c1 bigint").repartition("key")
+        .sortWithinPartitions("key", F.xxhash64("c1", F.col("key").bitwiseAND(3)), "c1").mapInArrow(_stars, "key bigint, a bigint, b bigint"))
     close = _close_enough("x", "y", threshold)
     x, y = classes.alias("x"), classes.alias("y")
 
@@ -290,7 +325,7 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
     stars = nodes(groups.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    links = _verified(stars, docs, width, threshold)
+    links = _verified(stars, classes, docs, width, threshold)
     named = components(links)
     # Groups that still have members in several components.
     member = (
@@ -301,11 +336,11 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
     apart = durable(member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("_key")))
     rest = durable(member.join(apart, F.col("key") == F.col("_key"), "left_semi"))
     if not rest.isEmpty():
-        pairs = (
+        pairs = durable(
             rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close)
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
         )
-        more = _verified(durable(pairs.join(stars, ["a", "b"], "left_anti")), docs, width, threshold)
+        more = _verified(durable(pairs.join(stars, ["a", "b"], "left_anti")), classes, docs, width, threshold)
         if not more.isEmpty():
             links = durable(links.unionByName(more))
             named = components(links)
