@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import durable
 
-__all__ = ["durable", "documents", "numbered", "ordered_rows", "word_count"]
+__all__ = ["durable", "documents", "numbered", "only", "ordered_rows", "word_count"]
+
+#: Up to so many ids, at most 32 MB, are broadcast to pick rows; more are joined by a shuffle.
+BROADCAST_IDS = 4_000_000
 
 #: Words `[^\x20\x09-\x0D]+` for Spark's own regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +25,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Rows with (left_semi) or without (left_anti) one of the ids in the column ``doc``."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc", how)
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str, slice_rows: int = 20_000) -> DataFrame:
     """Number the rows of each group from 0 without gaps, in a scattered but repeatable order.
 

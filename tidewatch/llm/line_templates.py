@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, durable, ordered_rows
+from .common import documents, durable, only, ordered_rows
 from .texts import NOT_SPACE, Prefix, batch_slices, mix, runs, text_bytes, words_of
 
 DEPTH, SIMILARITY, MIN_DOCUMENTS = 3, 0.7, 5
@@ -137,7 +137,11 @@ def without_recurring_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS,
     docs = ordered_rows(docs.select("doc_id", "text"))
     # A list holds lines of one document.
     lists = durable(recurring_lines(docs, min_documents, similarity).groupBy("doc").agg(F.collect_list("line").alias("dropped")))
-    return docs.join(lists, "doc", "left").select("doc_id", "text", "dropped").mapInArrow(
+    hit, names = lists.select("doc"), ["doc_id", "text", "dropped"]
+    # Only texts that lose lines move. The lists grow with the corpus, so they are never broadcast.
+    touched = only(docs, hit, "left_semi").join(lists.hint("merge"), "doc").select(*names)
+    whole = only(docs, hit, "left_anti").withColumn("dropped", F.lit(None).cast("array<bigint>")).select(*names)
+    return touched.unionByName(whole).mapInArrow(
         _without, f"doc_id {kind}, n_lines bigint, n_dropped bigint, kept_text string")
 
 

@@ -34,13 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import documents, durable, ordered_rows
+from .common import documents, durable, only, ordered_rows
 from .texts import Prefix, batch_slices, mix, text_bytes
 
 LENGTH, GRAM = 100, 28
 WHOLE_BUCKET = 20_000
 HELD_ROWS = 100_000
-BROADCAST_IDS = 4_000_000
 _ROWS = ["key", "context", "doc", "at", "start", "end"]
 _ROW_TYPES = ", ".join(f"`{c}` bigint" for c in _ROWS)
 
@@ -213,12 +212,6 @@ def _large_buckets(places: DataFrame, length: int, gram: int) -> DataFrame:
         "doc", (F.col("at") - o).alias("start"), (F.col("at") - o + length).alias("end"))
 
 
-def _only(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows with (left_semi) or without (left_anti) one of the ids; the ids are broadcast if they are few."""
-    few = ids.count() <= BROADCAST_IDS  # at most 32 MB
-    return rows.join(F.broadcast(ids) if few else ids, "doc", how)
-
-
 def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, whole_bucket: int = WHOLE_BUCKET) -> DataFrame:
     """(doc, start, end): bytes of (doc, text) rows in a string of ``length`` bytes that also starts earlier; they overlap."""
     placed = docs.select("doc", "text").mapInArrow(_places(length, gram), _ROW_TYPES)
@@ -226,7 +219,7 @@ def repeated_stretches(docs: DataFrame, length: int = LENGTH, gram: int = GRAM,
         placed.repartition("key").sortWithinPartitions("key", "context", "doc", "at").mapInArrow(_first_of_each, _ROW_TYPES))
     open_places = buckets.where(F.col("at") >= 0)
     by_doc = durable(open_places.groupBy("doc").agg(F.collect_list(F.struct("key", "at", "start", "end")).alias("places")))
-    texts = _only(docs.select("doc", "text"), by_doc.select("doc"), "left_semi").join(by_doc, "doc").dropDuplicates(["doc"])
+    texts = only(docs.select("doc", "text"), by_doc.select("doc"), "left_semi").join(by_doc, "doc").dropDuplicates(["doc"])
     around = texts.mapInArrow(_contexts, "key bigint, doc bigint, at bigint, start bigint, `end` bigint, bytes binary")
     large = durable(open_places.groupBy("key").count().where(F.col("count") > whole_bucket).select("key"))
     settled = buckets.where(F.col("at") < 0).select("doc", "start", "end")
@@ -282,8 +275,8 @@ def without_repeats(
     lists = durable(found.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("stretches")))
     hit = lists.select("doc")
     names = ["doc_id", "text", "stretches"]
-    touched = _only(docs, hit, "left_semi").join(lists, "doc").select(*names)
-    whole = _only(docs, hit, "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["stretches"].dataType).alias("stretches"))
+    touched = only(docs, hit, "left_semi").join(lists, "doc").select(*names)
+    whole = only(docs, hit, "left_anti").select("doc_id", "text", F.lit(None).cast(lists.schema["stretches"].dataType).alias("stretches"))
     schema = f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept_text string" if with_text else "")
     return touched.unionByName(whole).mapInArrow(_cut(with_text), schema)
 
