@@ -133,22 +133,50 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float = 1e-3):
-    """Logistic regression by accelerated gradient steps on columns scaled to equal size; sparse input by coordinates."""
+FIT_BLOCK = 100  # documents whose features are in double precision at a time
+
+
+def _logistic(columns: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, steps: int = 120, ridge: float = 1e-3):
+    """Logistic regression by accelerated gradient steps on columns scaled to equal size; sparse input, row by row.
+
+    The features are kept as they came, in blocks of rows, so that only one block is widened at a time.
+    """
     n, width = len(y), 1 << BUCKET_BITS
-    scale = 1 / np.sqrt(np.bincount(columns, values**2, width) / n + 1e-8)
-    scaled = values * scale[columns]
+    blocks = []
+    for a in range(0, n, FIT_BLOCK):
+        part = slice(a, min(a + FIT_BLOCK, n))
+        begin = np.concatenate([[0], np.cumsum([len(c) for c in columns[part]])])
+        blocks.append((part, begin, np.concatenate(columns[part]), np.concatenate(values[part])))
+    columns.clear()
+    values.clear()
+
+    def times(w: np.ndarray) -> np.ndarray:
+        """The matrix times a vector of weights."""
+        out = np.zeros(n)
+        for part, begin, c, v in blocks:
+            sums = np.concatenate([[0.0], np.cumsum(v * w[c])])
+            out[part] = sums[begin[1:]] - sums[begin[:-1]]
+        return out
+
+    def back(r: np.ndarray, power: int = 1) -> np.ndarray:
+        """A vector over the rows times the matrix."""
+        out = np.zeros(width)
+        for part, begin, c, v in blocks:
+            out += np.bincount(c, v.astype(np.float64) ** power * np.repeat(r[part], np.diff(begin)), width)
+        return out
+
+    scale = 1 / np.sqrt(back(np.ones(n), 2) / n + 1e-8)
     # The largest eigenvalue of the squared matrix by power steps gives the step size.
     v = np.ones(width)
     for _ in range(8):
-        v = np.bincount(columns, scaled * np.bincount(rows, scaled * v[columns], n)[rows], width)
+        v = scale * back(times(scale * v))
         norm = np.linalg.norm(v)
         v /= norm
     rate = 1 / (0.25 * norm / n + 0.25 + ridge)
     w, bias, ahead, ahead_bias = np.zeros(width), 0.0, np.zeros(width), 0.0
     for k in range(steps):
-        error = _sigmoid(np.bincount(rows, scaled * ahead[columns], n) + ahead_bias) - y
-        new = ahead - rate * (np.bincount(columns, scaled * error[rows], width) / n + ridge * ahead)
+        error = _sigmoid(times(scale * ahead) + ahead_bias) - y
+        new = ahead - rate * (scale * back(error) / n + ridge * ahead)
         new_bias = ahead_bias - rate * error.mean()
         ahead, ahead_bias = new + k / (k + 3) * (new - w), new_bias + k / (k + 3) * (new_bias - bias)
         w, bias = new, new_bias
@@ -194,14 +222,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCUMENTS) -> Mo
     y = np.array(got.column("y").to_pylist(), np.float64)
     if len(set(y)) < 2:
         return None
-    columns = [np.frombuffer(b, np.int32) for b in got.column("buckets").to_pylist()]
-    values = [np.frombuffer(b, np.float32).astype(np.float64) for b in got.column("amounts").to_pylist()]
+    columns = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("buckets")]
+    values = [np.frombuffer(b.as_buffer(), np.float32) for b in got.column("amounts")]
     held = np.zeros(len(y), bool)
     for label in (0, 1):  # one in HELD_OUT of each class, in the order of the ids
         held[np.flatnonzero(y == label)[HELD_OUT - 1 :: HELD_OUT]] = True
     fit = np.flatnonzero(~held)
-    rows_at = np.repeat(np.arange(len(fit)), [len(columns[i]) for i in fit])
-    weights = _logistic(rows_at, np.concatenate([columns[i] for i in fit]), np.concatenate([values[i] for i in fit]), y[fit])
+    weights = _logistic([columns[i] for i in fit], [values[i] for i in fit], y[fit])
     judge = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
     scores = np.array([weights[columns[i]] @ values[i] for i in judge])
     slope, shift = _calibrate(scores, y[judge])
