@@ -328,13 +328,15 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
     links = _verified(stars, classes, docs, width, threshold)
     named = components(links)
     # Groups that still have members in several components.
-    member = (
+    # Members move with three numbers each; sketches are added to those that are left.
+    placed = classes.join(named, F.col("rep") == F.col("v"), "left").select(F.col("c1").alias("_hash"), F.coalesce("component", "rep").alias("component"))
+    member = durable(
         groups.where(F.col("a") == F.col("b")).select("key", F.col("a").alias("hash"))
-        .join(classes, F.col("hash") == F.col("c1")).join(named, F.col("rep") == F.col("v"), "left")
-        .select("key", "rep", "n", *_SKETCH, F.coalesce("component", "rep").alias("component"))
-    )
+        .join(placed, F.col("hash") == F.col("_hash")).select("key", "hash", "component"))
     apart = durable(member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("_key")))
-    rest = durable(member.join(apart, F.col("key") == F.col("_key"), "left_semi"))
+    rest = durable(
+        member.join(apart, F.col("key") == F.col("_key"), "left_semi").join(classes, F.col("hash") == F.col("c1"))
+        .select("key", "rep", "n", *_SKETCH, "component"))
     if not rest.isEmpty():
         pairs = durable(
             rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close)
@@ -370,7 +372,9 @@ def one_of_each(docs: DataFrame, width: int = SHINGLE, threshold: tuple[int, int
     """
     found = near_duplicates(docs, width, threshold)
     gone = found.where((F.col("doc_id") != F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = durable(gone)
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone  # at most 8 MB of ids; then no text moves
+    kept = docs.join(few, docs["doc_id"] == F.col("_gone"), "left_anti")
     again = docs.groupBy("doc_id").count().where((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id")
     again = durable(again)
     if again.isEmpty():
