@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, durable
 from .components import components
-from .texts import LOWER, NOT_SPACE, Prefix, batch_slices, group_windows, mix, per_text, text_bytes, words_of
+from .texts import LOWER, NOT_SPACE, SMALL_SLICE_BYTES, Prefix, batch_slices, group_windows, mix, per_text, text_bytes, words_of
 
 SHINGLE = 4
 THRESHOLD = (85, 100)
@@ -77,7 +77,8 @@ class Sets:
     def sketches(self) -> np.ndarray:
         """Parity of the number of shingles on each of 512 bits, as eight 64-bit numbers per text."""
         bit = mix(self.hashes + np.uint64(13)) & np.uint64(511)
-        odd = np.bincount(self.text * 512 + bit.astype(np.int64), minlength=512 * len(self.sizes)) & 1
+        odd = np.bincount(self.text * 512 + bit.astype(np.int64), minlength=512 * len(self.sizes))
+        odd &= 1
         return np.packbits(odd.astype(np.uint8).reshape(-1, 512), axis=1).view(np.int64)
 
     def wide_sketches(self) -> list[bytes]:
@@ -154,7 +155,7 @@ _SKETCH = [f"s{i}" for i in range(8)]
 def _describe(width: int):
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", SMALL_SLICE_BYTES):
                 sets = Sets(part.column("text"), width)
                 one, two = (x.view(np.int64) for x in sets.fingerprints())
                 sketch = sets.sketches()
@@ -178,11 +179,14 @@ def _chunk_keys(width: int, threshold: tuple[int, int]):
     def chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(threshold)
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            seen = np.zeros(0, np.int64)
+            for part in batch_slices(batch, "text", SMALL_SLICE_BYTES):
                 sets = Sets(part.column("text"), width)
                 one = sets.fingerprints()[0].view(np.int64)
                 wanted = np.zeros(len(one), bool)
-                wanted[np.unique(one, return_index=True)[1]] = True  # of equal sets in a slice, one
+                wanted[np.unique(one, return_index=True)[1]] = True  # of equal sets in a batch, one
+                wanted &= ~np.isin(one, seen)
+                seen = np.concatenate([seen, one[wanted]])
                 keys, text = _keys(sets, bands, wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(one[text])], ["key", "c1"])
 
@@ -280,7 +284,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int,
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", SMALL_SLICE_BYTES):
                 sets = Sets(part.column("text"), width)
                 node = _filled(part.column("doc_id"), sets.fingerprints()[0].view(np.int64))
                 yield pa.RecordBatch.from_arrays([node, pa.array(sets.sets(), pa.binary())], ["node", "items"])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents
-from .texts import NOT_SPACE, Prefix, batch_slices, group_windows, mix, per_text, runs, text_bytes, words_of
+from .texts import NOT_SPACE, SMALL_SLICE_BYTES, Prefix, batch_slices, group_windows, mix, per_text, runs, text_bytes, words_of
 
 TRAIN_DOCUMENTS = 3000
 HELD_OUT = 3  # one in so many sampled documents is for the calibration
@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCUMENTS) -> Mo
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch_slices(batch, "text", 1_000_000):
+            for part in batch_slices(batch, "text", SMALL_SLICE_BYTES):
                 texts = Texts(part.column("text"))
                 found = [texts.features(i) for i in range(texts.n)]
                 yield pa.RecordBatch.from_arrays(
@@ -250,7 +250,7 @@ def quality(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_ABOVE,
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch_slices(batch, "text"):
+            for part in batch_slices(batch, "text", SMALL_SLICE_BYTES):
                 found = _judged(part.column("text"), model.value, keep_above)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, found.values())], ["doc_id", *found])
 
@@ -267,7 +267,7 @@ def good_documents(docs: DataFrame, labels: DataFrame, keep_above: float = KEEP_
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batch_slices(batch, place):
+            for part in batch_slices(batch, place, SMALL_SLICE_BYTES):
                 yield part.filter(pa.array(_judged(part.column(place), model.value, keep_above)["kept"]))
 
     return docs.mapInArrow(keep, T.StructType(docs.schema.fields))

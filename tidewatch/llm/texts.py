@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2_000_000
+#: For work that holds several dozen bytes per byte of text.
+SMALL_SLICE_BYTES = 500_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MASK = (1 << 64) - 1
 
