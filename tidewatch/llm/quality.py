@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,12 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCUMENTS) -> Mo
                      pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "y", "buckets", "amounts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(features, f"doc_id {kind}, y int, buckets binary, amounts binary").toArrow().sort_by("doc_id")
-    y = np.array(got.column("y").to_pylist(), np.float64)
+    got = rows.mapInArrow(features, f"doc_id {kind}, y int, buckets binary, amounts binary").toArrow()
+    order = pc.sort_indices(got.column("doc_id")).to_pylist()  # the rows themselves are not copied
+    y = np.array(got.column("y").to_pylist(), np.float64)[order]
     if len(set(y)) < 2:
         return None
-    columns = [np.frombuffer(b.as_buffer(), np.int32) for b in got.column("buckets")]
-    values = [np.frombuffer(b.as_buffer(), np.float32) for b in got.column("amounts")]
+    buckets, amounts = list(got.column("buckets")), list(got.column("amounts"))
+    columns = [np.frombuffer(buckets[i].as_buffer(), np.int32) for i in order]
+    values = [np.frombuffer(amounts[i].as_buffer(), np.float32) for i in order]
     held = np.zeros(len(y), bool)
     for label in (0, 1):  # one in HELD_OUT of each class, in the order of the ids
         held[np.flatnonzero(y == label)[HELD_OUT - 1 :: HELD_OUT]] = True
