@@ -13,6 +13,7 @@ from tidewatch.detectors.text import LogTextDetector, tokens
 from tidewatch.detectors.zscore import ZScoreDetector
 from tidewatch.operators import explain as xp
 from tidewatch.operators import federated as fed
+from tidewatch.operators.scaling import Standardizer
 from tidewatch.operators.calibrate import FusionConfig
 from tidewatch.operators.shapley import exact_values, sampled_values, shapley
 from tidewatch.sources import files
@@ -96,14 +97,73 @@ def test_gradient_matches_differences():
         assert grad[i] == pytest.approx((up - down) / 2e-6, abs=1e-5)
 
 
-def test_gradient_sums_equal_one_batch(spark, points):
-    dims = [3, 4, 2]
-    flat = nn.start_parameters(dims, 1)
-    scale = {0: (np.zeros(3), np.ones(3))}
-    n, loss, grad = nn.gradient_sums(points, FEATURES, dims, {0: flat}, scale)[0]
+def training(points, **options):
+    return nn.ReplicaTraining(points, FEATURES, ["k"], [3, 4, 2], seed=1, **options)
+
+
+def test_a_full_step_is_the_gradient_of_all_rows(points):
+    run, start = training(points, replicas=4, check_share=0.0), nn.Weights(nn.start_parameters([3, 4, 2], 1))
+    new, loss, check = run.full_step(start, 0.01)
     x = points.select(FEATURES).toPandas().to_numpy()
-    want_loss, want = nn.gradient(x, nn.unpack(flat, dims))
-    assert n == 600 and loss == pytest.approx(want_loss) and grad == pytest.approx(want)
+    want_loss, grad = nn.gradient(x, nn.unpack(start.params, [3, 4, 2]))
+    want = start.copy()
+    want.step(grad / len(x), 0.01)
+    assert loss == pytest.approx(want_loss / 600) and check is None and new.params == pytest.approx(want.params, abs=1e-12)
+
+
+def test_a_pass_averages_replicas_by_rows(points):
+    run, start = training(points, replicas=3, check_share=0.2), nn.Weights(nn.start_parameters([3, 4, 2], 1))
+    new, _, check = run.run(start, 0.01, 7)
+    parts = run.rows.rdd.mapPartitionsWithIndex(lambda i, rows: [(i, [list(r) for r in rows])]).collect()
+    flats, weights, losses = [], [], []
+    for i, rows in parts:
+        x, held = np.array([r[:3] for r in rows], dtype="float64").reshape(-1, 3), np.array([r[3] for r in rows], dtype=bool)
+        losses += nn.errors(x[held], nn.unpack(start.params, [3, 4, 2])).tolist()
+        own = start.copy()
+        nn.train_batches(x[~held], own, [3, 4, 2], 0.01, 64, np.random.default_rng([1, 7, i]))
+        flats.append(own.flat())
+        weights.append((~held).sum())
+    assert new.flat() == pytest.approx(np.average(flats, axis=0, weights=weights), abs=1e-12)
+    assert check == pytest.approx(np.mean(losses)) and 60 < len(losses) < 180
+
+
+def test_mini_batches_beat_full_steps_and_the_layout_does_not_matter(points):
+    normals = points.where("not is_anomaly")
+    fit = lambda df, **o: MlpReconstruction(FEATURES, (8, 2), epochs=15, rate=0.005, replicas=4, **o).fit(df, None)
+    small, full = fit(normals), fit(normals, batch=None)
+    assert small.checks[-1] < full.checks[-1] and small.losses[-1] < full.losses[-1]
+    other = fit(normals.repartition(5, "k"))
+    assert other.losses == pytest.approx(small.losses, rel=1e-6) and other.params == pytest.approx(small.params, abs=1e-6)
+    spread = fit(normals, seed=42)
+    spread.replicas = 8
+    assert spread.fit(normals, None).losses[-1] < 1.5 * small.losses[-1]  # more replicas take fewer steps each
+
+
+def test_the_rate_is_halved_on_a_plateau():
+    plateau = nn.Plateau(0.1, patience=2)
+    for loss in (1.0, 0.5, 0.5, 0.5):
+        plateau.see(loss)
+    assert plateau.rate == 0.1
+    plateau.see(0.49999)
+    assert plateau.rate == 0.05 and plateau.stale == 0
+
+
+def test_clip_and_threshold_are_learned_from_labelled_rows(points, mlp):
+    labelled = points.where("k % 2 = 0")
+    for detector in (MlpReconstruction(FEATURES, (8, 2), epochs=3, rate=0.02), PcaReconstruction(FEATURES, 2)):
+        detector.fit(points.where("not is_anomaly"), labelled=labelled)
+        clip, detector.score_clip = detector.score_clip, None
+        rows = detector.score(labelled).select("score", "is_anomaly").toPandas()
+        assert clip == pytest.approx(2 * np.percentile(rows["score"][~rows["is_anomaly"]], 99))
+        scores, truth, best = np.minimum(rows["score"], clip), rows["is_anomaly"].to_numpy(), (-1.0, None)
+        for t in sorted(set(scores)):
+            hit = scores >= t
+            tp = (hit & truth).sum()
+            if tp / truth.sum() >= 0.9:
+                p, r = tp / hit.sum(), tp / truth.sum()
+                best = max(best, (2 * p * r / (p + r), -t))
+        assert detector.threshold == pytest.approx(-best[1])
+        assert (detector.score_min, detector.score_max) == (pytest.approx(scores.min()), pytest.approx(scores.max()))
 
 
 @pytest.fixture(scope="module")
@@ -240,5 +300,36 @@ def test_federated(spark, points, tmp_path):
 def test_one_client_with_shared_scaler_is_central_training(spark, points):
     rows = points.withColumn("client", F.lit(0))
     model = fed.federated_fit(rows, FEATURES, hidden=(4, 2), rounds=1, epochs=4, rate=0.02, scaler="shared")
-    central = MlpReconstruction(FEATURES, (4, 2), epochs=4, rate=0.02).fit(points.where("not is_anomaly"), None)
+    normals = points.where("not is_anomaly")
+    z = nn.matrix(fed.ClientTraining(rows.where("not is_anomaly"), model.scalers, FEATURES, "client").rows.where("kind = 2").coalesce(1)
+                  .toArrow().combine_chunks().to_batches()[0], ["x0", "x1", "x2"])
+    scaler = Standardizer.fit(normals, FEATURES)
+    central, order = nn.Weights(nn.start_parameters([3, 4, 2], 42)), np.random.default_rng([42, 1, 0])
+    for _ in range(4):
+        nn.train_batches((z - scaler.mean) / scaler.std, central, [3, 4, 2], 0.02, 64, order)
     assert model.params == pytest.approx(central.params, abs=1e-9)
+
+
+def test_a_large_client_trains_in_parts_that_count_as_one(spark, points):
+    rows = points.withColumn("client", F.when(F.col("k") < 500, 0).otherwise(F.lit(1) + F.col("k").cast("int") % 3))
+    model = fed.federated_fit(rows, FEATURES, hidden=(4, 2), rounds=2, epochs=1, rate=0.02, rows_per_replica=50)
+    found = {(r["round"], r["client"]): r for r in model.client_results().collect()}
+    sizes = {r["client"]: r["count"] for r in rows.where("not is_anomaly").groupBy("client").count().collect()}
+    assert {k: r["n_examples"] for k, r in found.items()} == {(i, c): n for i in (1, 2) for c, n in sizes.items()}
+    assert model.history[1][2] == pytest.approx(np.mean([r["loss"] for k, r in found.items() if k[0] == 2]))
+
+
+def test_ten_thousand_clients(spark):
+    rows = spark.range(30_000).select(
+        (F.col("id") % 10_000).cast("int").alias("client"), (F.rand(1) * 3).alias("a"), F.randn(2).alias("b"), F.randn(3).alias("c"),
+        F.lit(False).alias("is_anomaly"), "id")
+    model = fed.federated_fit(rows, FEATURES, hidden=(2,), rounds=2, epochs=1, rate=0.01)
+    assert [h[1:2] + h[3:] for h in model.history] == [(10_000, 30_000)] * 2
+    scored = model.score(rows)
+    assert scored.count() == 30_000 and scored.where("score is null").isEmpty()
+
+
+def test_rows_that_are_all_equal_are_cut(spark):
+    rows = spark.range(500).select(F.lit(1).alias("client"), F.lit(1.0).alias("a"), F.lit(2.0).alias("b"), F.lit(3.0).alias("c"), F.lit(False).alias("is_anomaly"))
+    model = fed.federated_fit(rows, FEATURES, hidden=(2,), rounds=1, epochs=1, rows_per_replica=20)
+    assert model.history[0][1] == 1 and model.history[0][3] == 500

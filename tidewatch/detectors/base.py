@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.fusion import bounds_normalized
 from tidewatch.operators.ordering import exact_quantiles
 from tidewatch.schemas import FIT_PERCENTILE
+from tidewatch.session import durable
 
 
 class Detector:
@@ -36,6 +37,23 @@ class Detector:
         found = exact_quantiles(self.score(df, "_score"), "_score", [0.0, fraction, 1.0]).get((), {})
         self.score_min, self.threshold, self.score_max = (found.get(f) for f in (0.0, fraction, 1.0))
 
+    def calibrate(self, labelled: DataFrame, label: str = "is_anomaly", min_recall: float = 0.90) -> None:
+        """Learn clip, threshold and bounds from labelled records: scores are clipped at twice the 99th percentile of the normals,
+        so that extreme anomalies do not push the threshold over mild ones, and the threshold has the best F1 above the recall floor.
+
+        Without positives or without normals the clip is left out or the threshold is that of ``fit_bounds``.
+        """
+        from tidewatch.operators.calibrate import score_clip_from_normals, threshold_max_f1
+
+        self.score_clip = None
+        scored = durable(self.score(labelled.where(F.col(label).isNotNull()), "_score").select("_score", label))
+        self.score_clip = score_clip_from_normals(scored, "_score", label)
+        clipped = scored if self.score_clip is None else scored.withColumn("_score", F.least("_score", F.lit(self.score_clip)))
+        found = threshold_max_f1(clipped, "_score", label, min_recall).first()
+        bounds = exact_quantiles(clipped, "_score", [0.0, FIT_PERCENTILE, 1.0]).get((), {})
+        self.score_min, self.score_max = bounds.get(0.0), bounds.get(1.0)
+        self.threshold = found["threshold"] if found and found["threshold"] is not None else bounds.get(FIT_PERCENTILE)
+
     def normalized(self, score: Column) -> Column:
         return bounds_normalized(score, self.score_min, self.score_max)
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.detectors.base import Detector
+from tidewatch.detectors.trees import TreeTable
 from tidewatch.operators.calibrate import threshold_max_f1
 from tidewatch.operators.features import require_columns
 from tidewatch.operators.profile import class_weights
+from tidewatch.session import shared_folder
 
 
 class BoostedTrees(Detector):
@@ -22,6 +28,7 @@ class BoostedTrees(Detector):
         self.trees, self.depth, self.rate, self.seed = trees, depth, rate, seed
         self.row_share, self.column_share = row_share, column_share
         self.model: GBTClassificationModel | None = None
+        self.nodes: pd.DataFrame | None = None
 
     def _vector(self):
         return array_to_vector(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.features]))
@@ -43,14 +50,15 @@ class BoostedTrees(Detector):
             maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.row_share,
             featureSubsetStrategy=str(self.column_share), weightCol="weight", seed=self.seed,
         ).fit(rows)
+        self.nodes = None
         if validation is not None:
             self.threshold = threshold_max_f1(self.score(validation), "score", label, min_recall).first()["threshold"]
         return self
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
         """Probability of an anomaly."""
-        out = self.model.setFeaturesCol("_features").setProbabilityCol("_probability") \
-            .setRawPredictionCol("_raw").setPredictionCol("_prediction").transform(df.withColumn("_features", self._vector()))
+        own = self.model.copy().setFeaturesCol("_features").setProbabilityCol("_probability").setRawPredictionCol("_raw").setPredictionCol("_prediction")
+        out = own.transform(df.withColumn("_features", self._vector()))
         return out.withColumn(name, F.get(vector_to_array("_probability"), 1)).drop(
             "_features", "_probability", "_raw", "_prediction"
         )
@@ -61,3 +69,30 @@ class BoostedTrees(Detector):
         table = df.sparkSession.createDataFrame(rows, "feature string, importance double")
         ordered = table.orderBy(F.desc("importance"), "feature")
         return ordered if top is None else ordered.limit(top)
+
+    def node_table(self) -> pd.DataFrame:
+        """Rows (tree, node, feature, split, left, right, value, cover, gain): at most trees * 2 ** (depth + 1), read off the saved model once."""
+        if self.nodes is None:
+            spark = SparkSession.getActiveSession()
+            path = f"{shared_folder(spark)}/boosted-{uuid.uuid4().hex}"
+            self.model.write().save(path)
+            n = F.col("nodeData")
+            inner = n["leftChild"] >= 0
+            self.nodes = spark.read.parquet(f"{path}/data").select(
+                F.col("treeID").alias("tree"), n["id"].alias("node"), F.when(inner, n["split"]["featureIndex"]).otherwise(-1).alias("feature"),
+                F.when(inner, F.get(n["split"]["leftCategoriesOrThreshold"], 0)).otherwise(0.0).alias("split"), n["leftChild"].alias("left"),
+                n["rightChild"].alias("right"), n["prediction"].alias("value"), F.get(n["impurityStats"], 0).alias("cover"),
+                F.when(inner, n["gain"]).otherwise(0.0).alias("gain"),
+            ).toPandas()
+        return self.nodes
+
+    def tree_table(self) -> TreeTable:
+        """The trees on raw features; their raw output is the margin, half the log-odds of the score."""
+        return TreeTable.of(self.node_table(), np.array(self.model.treeWeights))
+
+    def tree_input(self) -> list[Column]:
+        return [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in self.features]
+
+    def on_arrays(self):
+        table = self.tree_table()
+        return lambda x: 1.0 / (1.0 + np.exp(-2.0 * table.raw(x)))

@@ -16,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.detectors.base import Detector
+from tidewatch.detectors.trees import TreeTable
 from tidewatch.operators.scaling import Standardizer
 from tidewatch.schemas import FIT_PERCENTILE
 
-NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double"
+NODE_SCHEMA = "tree int, node int, feature int, split double, left int, right int, path double, rows int"
 
 
 def average_path(n: float) -> float:
@@ -36,7 +37,7 @@ def tree_depth(sample: int) -> int:
 
 
 def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
-    """Nodes (node, feature, split, left, right, path) of one tree; a leaf has feature -1."""
+    """Nodes (node, feature, split, left, right, path, rows) of one tree; a leaf has feature -1."""
     nodes: list[tuple] = []
     todo = [(0, np.arange(len(points)), 0)]
     made = 1
@@ -46,12 +47,12 @@ def grow(points: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple
         low, high = part.min(axis=0), part.max(axis=0)
         usable = np.flatnonzero(high > low)
         if depth >= limit or len(rows) <= 1 or not len(usable):
-            nodes.append((node, -1, 0.0, -1, -1, depth + average_path(len(rows))))
+            nodes.append((node, -1, 0.0, -1, -1, depth + average_path(len(rows)), len(rows)))
             continue
         feature = int(rng.choice(usable))
         split = float(rng.uniform(low[feature], high[feature]))
         goes_left = part[:, feature] <= split
-        nodes.append((node, feature, split, made, made + 1, 0.0))
+        nodes.append((node, feature, split, made, made + 1, 0.0, len(rows)))
         todo.append((made, rows[goes_left], depth + 1))
         todo.append((made + 1, rows[~goes_left], depth + 1))
         made += 2
@@ -111,7 +112,7 @@ class IsolationForest(Detector):
             rows = group.sort_values(["_u", "_key"]).head(used)
             tree = int(rows["tree"].iloc[0])
             nodes = grow(np.stack(rows["_x"].to_numpy()), np.random.default_rng([seed, tree]), limit)
-            out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path"])
+            out = pd.DataFrame(nodes, columns=["node", "feature", "split", "left", "right", "path", "rows"])
             out.insert(0, "tree", tree)
             return out
 
@@ -158,6 +159,15 @@ class IsolationForest(Detector):
         mean, std = np.array(self.scaler.mean), np.array(self.scaler.std)
         return lambda x: forest_scores((x - mean) / std, forest, scale)
 
+    def tree_table(self) -> TreeTable:
+        """The forest on standardised features; its raw output is the exponent of the score, minus mean path over expected path."""
+        scale, trees = average_path(self.used) or 1.0, self.nodes["tree"].nunique()
+        nodes = self.nodes.rename(columns={"path": "value", "rows": "cover"})
+        return TreeTable.of(nodes, np.full(int(nodes["tree"].max()) + 1, -1.0 / (scale * trees)))
+
+    def tree_input(self) -> list[Column]:
+        return [self.scaler.z(c).alias(c) for c in self.features]
+
     def meta(self) -> dict:
         return super().meta() | {
             "trees": self.trees, "sample": self.sample, "seed": self.seed, "used": self.used,

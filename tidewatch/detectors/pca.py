@@ -28,7 +28,9 @@ class PcaReconstruction(Detector):
         self.scaler: Standardizer | None = None
         self.components: np.ndarray | None = None
 
-    def fit(self, normals: DataFrame, fraction: float | None = FIT_PERCENTILE) -> PcaReconstruction:
+    def fit(self, normals: DataFrame, fraction: float | None = FIT_PERCENTILE, labelled: DataFrame | None = None,
+            label: str = "is_anomaly", min_recall: float = 0.90) -> PcaReconstruction:
+        """Learn from normal records; with labelled ones clip and threshold are learned from their scores."""
         self.scaler = Standardizer.fit(normals, self.features)
         d = len(self.features)
         z = [self.scaler.z(c) for c in self.features]
@@ -41,7 +43,9 @@ class PcaReconstruction(Detector):
         leading = vectors[:, ::-1][:, : self.k].T
         signs = np.sign(leading[np.arange(len(leading)), np.abs(leading).argmax(axis=1)])
         self.components = leading * signs[:, None]
-        if fraction is not None:
+        if labelled is not None:
+            self.calibrate(labelled, label, min_recall)
+        elif fraction is not None:
             self.fit_bounds(normals, fraction)
         return self
 

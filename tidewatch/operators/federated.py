@@ -1,4 +1,8 @@
-"""Federated averaging: clients share parameters and counts, never rows."""
+"""Federated averaging: clients share parameters and counts, never rows.
+
+A round is one pass: every client trains its own copy of the network on its own rows, on mini-batches and for several
+epochs, and the copies are averaged by examples inside Spark.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import StorageLevel, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.detectors import network as nn
@@ -63,114 +68,208 @@ def federated_status(history: DataFrame, total_rounds: int = 5) -> DataFrame:
     )
 
 
+#: A client with more rows trains several replicas of about so many rows each.
+ROWS_PER_REPLICA = 100_000
+#: Up to so many clients, a few MB of means and deviations, are broadcast to scale rows; more are joined by a shuffle.
+BROADCAST_CLIENTS = 10_000
+#: Thresholds per client become a literal of the plan; more clients are refused.
+MOST_EVALUATED = 10_000
+
+
+def _value(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_CLIENTS else df
+
+
 @dataclass
 class FederatedModel:
+    """Shared parameters, and a table (client, n, mean, std) of what each client's rows are scaled by."""
+
     features: list[str]
     dims: list[int]
     params: np.ndarray
-    scalers: dict[int, tuple[np.ndarray, np.ndarray]]
+    scalers: DataFrame
     history: list[tuple] = field(default_factory=list)
+    results: list[DataFrame] = field(default_factory=list)
 
     def history_table(self, spark) -> DataFrame:
         return spark.createDataFrame(self.history, ROUND_SCHEMA)
 
+    def client_results(self) -> DataFrame:
+        """(round, client, n_examples, loss) of every client's local training."""
+        out = self.results[0]
+        for more in self.results[1:]:
+            out = out.unionByName(more)
+        return out
+
     def score(self, df: DataFrame, client: str = "client", name: str = "score") -> DataFrame:
-        """Reconstruction error under the shared parameters and the scaling of each row's client."""
-        shared = df.sparkSession.sparkContext.broadcast((self.params, self.dims, self.scalers))
-        names = list(self.features)
+        """Reconstruction error under the shared parameters and the scaling of each row's client.
+
+        A client without normals has no scaling of its own and gets the mean of the others'.
+        """
+        spark, d = df.sparkSession, len(self.features)
+        found = self.scalers.agg(F.count("*").alias("n"), *[
+            F.avg(F.get(kind, i)).alias(f"{kind}{i}") for kind in ("mean", "std") for i in range(d)]).first()  # one row
+        others = {kind: [found[f"{kind}{i}"] for i in range(d)] for kind in ("mean", "std")}
+        named = self.scalers.select(F.col("client").alias("_owner"), F.col("mean").alias("_mean"), F.col("std").alias("_std"))
+        joined = df.join(_small(named, found["n"]), F.col(client).cast("int") == F.col("_owner"), "left")
+        z = [
+            ((_value(c) - F.coalesce(F.get("_mean", i), F.lit(others["mean"][i]))) / F.coalesce(F.get("_std", i), F.lit(others["std"][i]))).alias(c)
+            for i, c in enumerate(self.features)
+        ]
+        shared = spark.sparkContext.broadcast((self.params, self.dims))
 
         @F.pandas_udf("double")
         def reconstruct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-            flat, dims, scales = shared.value
-            layers = nn.unpack(flat, dims)
-            order = {k: i for i, k in enumerate(scales)}
-            # A client without normals has no scaling of its own and gets the mean of the others'.
-            mean = np.stack([m for m, _ in scales.values()])
-            std = np.stack([s for _, s in scales.values()])
-            mean, std = np.vstack([mean, mean.mean(axis=0)]), np.vstack([std, std.mean(axis=0)])
+            layers = nn.unpack(*shared.value)
             for batch in batches:
-                at = batch["_client"].map(order).fillna(len(order)).astype("int64").to_numpy()
-                x = (batch[names].to_numpy(dtype="float64") - mean[at]) / std[at]
-                yield pd.Series(nn.errors(x, layers))
-
-        values = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names]
-        return df.withColumn(name, reconstruct(F.struct(F.col(client).cast("int").alias("_client"), *values)))
-
-
-def client_scalers(
-    df: DataFrame, features: Sequence[str], client: str, scaler: str = "local"
-) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Mean and deviation per client, or the same pooled ones for all (``shared``): only moments leave a client."""
-    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
-    rows = df.groupBy(F.col(client).cast("int").alias("client")).agg(
-        F.count("*").alias("n"),
-        *[F.avg(value[c]).alias(f"m_{c}") for c in features],
-        *[F.var_pop(value[c]).alias(f"v_{c}") for c in features],
-    ).collect()  # one row per client
-    n = np.array([r["n"] for r in rows], dtype="float64")[:, None]
-    mean = np.array([[r[f"m_{c}"] for c in features] for r in rows])
-    var = np.array([[r[f"v_{c}"] for c in features] for r in rows])
+                yield pd.Series(nn.errors(batch.to_numpy(dtype="float64"), layers))
+
+        return joined.withColumn(name, reconstruct(F.struct(*z))).drop("_owner", "_mean", "_std")
+
+
+def client_scalers(df: DataFrame, features: Sequence[str], client: str, scaler: str = "local") -> DataFrame:
+    """(client, n, mean, std) per client, or the same pooled mean and deviation for all (``shared``): only moments leave a client."""
+    def moments(rows: DataFrame, *by: Column) -> DataFrame:
+        return rows.groupBy(*by).agg(
+            F.count("*").alias("n"), F.array(*[F.avg(_value(c)) for c in features]).alias("mean"),
+            F.array(*[F.when(F.stddev_pop(_value(c)) > 0, F.stddev_pop(_value(c))).otherwise(1.0) for c in features]).alias("std"))
+
+    own = moments(df, F.col(client).cast("int").alias("client"))
     if scaler == "shared":
-        pooled = (n * mean).sum(axis=0) / n.sum()
-        spread = (n * (var + (mean - pooled) ** 2)).sum(axis=0) / n.sum()
-        mean, var = np.tile(pooled, (len(rows), 1)), np.tile(spread, (len(rows), 1))
-    elif scaler != "local":
+        pooled = moments(df).select(F.col("mean"), F.col("std"))  # one row
+        return own.select("client", "n").join(F.broadcast(pooled))
+    if scaler != "local":
         raise ValueError(f"unknown scaler: {scaler}")
-    std = np.sqrt(var)
-    std[std == 0] = 1.0
-    return {r["client"]: (mean[i], std[i]) for i, r in enumerate(rows)}
+    return own
 
 
-def local_train(
-    rows: DataFrame, features: Sequence[str], client: str, dims: Sequence[int], start: np.ndarray,
-    scalers: dict[int, tuple[np.ndarray, np.ndarray]], epochs: int, rate: float,
-) -> dict[int, tuple[int, float, np.ndarray]]:
-    """Train every client's copy for some epochs: ``{client: (examples, loss, parameters)}``.
+class ClientTraining:
+    """Rows of all clients, dealt to replicas: (client, part) with at most about ``ROWS_PER_REPLICA`` rows each.
 
-    All clients step together, one pass over the table per epoch, and a large client spreads over as many
-    tasks as its rows do.
+    A replica's mean and deviation rows come first in the same sorted stream as its data rows, so scaling needs no join of
+    rows, and neither models nor scalers of clients pass through the driver.
     """
-    models = {k: start.copy() for k in scalers}
-    adams = {k: nn.Adam(len(start), rate) for k in scalers}
-    for _ in range(epochs):
-        for k, (n, _, grad) in nn.gradient_sums(rows, features, dims, models, scalers, client).items():
-            models[k] = adams[k].step(models[k], grad / n)
-    final = nn.gradient_sums(rows, features, dims, models, scalers, client)
-    return {k: (n, loss / n, models[k]) for k, (n, loss, _) in final.items()}
+
+    def __init__(self, rows: DataFrame, scalers: DataFrame, features: Sequence[str], client: str, rows_per_replica: int = ROWS_PER_REPLICA):
+        self.features, self.limit = list(features), rows_per_replica
+        spark = rows.sparkSession
+        self.tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        parts = F.ceil(F.col("n") / rows_per_replica).cast("int")
+        large = durable(scalers.where(F.col("n") > rows_per_replica).select(F.col("client").alias("_large"), parts.alias("_parts")))
+        values = [_value(c).alias(f"x{i}") for i, c in enumerate(features)]
+        plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "array", "struct", "variant")]
+        data = rows.select(F.col(client).cast("int").alias("client"), *values, F.xxhash64(*plain).alias("_h"))
+        data = data.join(_small(large, large.count()), F.col("client") == F.col("_large"), "left")
+        data = data.withColumn("part", F.pmod("_h", F.coalesce("_parts", F.lit(1))).cast("int")).withColumn("kind", F.lit(2))
+        each = scalers.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        heads = [
+            each.select("client", "part", F.lit(kind).alias("kind"), *[F.get(source, i).alias(f"x{i}") for i in range(len(features))], F.lit(0).cast("long").alias("_h"))
+            for kind, source in ((0, "mean"), (1, "std"))
+        ]
+        names = ["client", "part", "kind", *[f"x{i}" for i in range(len(features))], "_h"]
+        every = heads[0].select(names).unionByName(heads[1].select(names)).unionByName(data.select(names))
+        self.rows = every.repartition(self.tasks, "client", "part").sortWithinPartitions("client", "part", "kind", "_h").drop("_h").persist(
+            StorageLevel.MEMORY_AND_DISK)
+
+    def run(self, params: np.ndarray, dims: Sequence[int], epochs: int, rate: float, batch: int, seed: int, number: int) -> tuple[np.ndarray, DataFrame]:
+        """One round: the mean of all local models by examples, and (client, n_examples, loss) of every client.
+
+        Every replica trains ``epochs`` epochs from the shared parameters. Models are summed inside the tasks; a client's
+        replicas weigh in by their rows, so that the sum is the one of its averaged models.
+        """
+        held = self.rows.sparkSession.sparkContext.broadcast(params)
+        columns, limit = [f"x{i}" for i in range(len(self.features))], 2 * self.limit
+
+        def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, sums, out = TaskContext.get().partitionId(), np.zeros(1 + len(held.value)), []
+            owner, scale, parts, size = None, [], [], 0
+
+            def finish() -> None:
+                nonlocal parts, size
+                if not size:
+                    return
+                x, own = np.concatenate(parts), nn.Weights(held.value.copy())
+                order = np.random.default_rng([seed, number, owner[1]])
+                for _ in range(epochs):
+                    nn.train_batches(x, own, dims, rate, batch, order)
+                out.append((owner[0], len(x), float(nn.errors(x, nn.unpack(own.params, dims)).sum())))
+                np.add(sums, np.concatenate([[len(x)], len(x) * own.params]), out=sums)
+                parts, size = [], 0
+
+            for b in batches:
+                x = nn.matrix(b, columns)
+                client, part = (b.column(c).to_numpy(zero_copy_only=False) for c in ("client", "part"))
+                kind = b.column("kind").to_numpy(zero_copy_only=False)
+                new = np.flatnonzero((client[1:] != client[:-1]) | (part[1:] != part[:-1])) + 1
+                for first, last in zip([0, *new.tolist()], [*new.tolist(), len(x)]):
+                    key = (int(client[first]), int(part[first]))
+                    if key != owner:
+                        finish()
+                        owner, scale = key, []
+                    rows = x[first:last]
+                    heads = rows[kind[first:last] < 2]
+                    scale.extend(heads)
+                    rows = rows[len(heads):]
+                    if len(rows):
+                        parts.append((rows - scale[0]) / scale[1])
+                        size += len(rows)
+                    if size > limit:  # rows that are equal in all fields share a part; a long run of them is cut here
+                        finish()
+                if len(out) > 10_000:
+                    yield results(out)
+                    out = []
+            finish()
+            yield results(out)
+            yield pa.RecordBatch.from_pylist([{"place": place, "sums": sums.tobytes()}], schema=schema)
+
+        def results(out: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"client": c, "n": n, "loss": loss} for c, n, loss in out], schema=schema)
+
+        schema = pa.schema([("client", pa.int32()), ("n", pa.int64()), ("loss", pa.float64()), ("place", pa.int32()), ("sums", pa.binary())])
+        made = durable(self.rows.mapInArrow(train, "client int, n bigint, loss double, place int, sums binary"))
+        held.destroy()
+        sums = nn.added(made.where("place is not null").select("place", "sums"), self.tasks)
+        if not sums[0]:
+            raise ValueError("no rows to train on")
+        clients = made.where("place is null").groupBy("client").agg(F.sum("n").alias("n_examples"), (F.sum("loss") / F.sum("n")).alias("loss"))
+        return sums[1:] / sums[0], clients
+
+    def close(self) -> None:
+        self.rows.unpersist()
 
 
 def federated_fit(
     df: DataFrame, features: Sequence[str], client: str = "client", label: str = "is_anomaly",
     hidden: Sequence[int] = (64, 32, 16), rounds: int = 5, epochs: int = 5, rate: float = 1e-3,
-    seed: int = 42, scaler: str = "local", weights_path: str | None = None,
+    seed: int = 42, scaler: str = "local", weights_path: str | None = None, batch: int = 64,
+    rows_per_replica: int = ROWS_PER_REPLICA,
 ) -> FederatedModel:
     """Rounds of local training on each client's normals, then averaging.
 
-    Parameters go to the driver, the rows never do. With ``weights_path`` each round's weights are added
-    to a table there.
+    What reaches the driver is one averaged model per round and one row of totals. With ``weights_path`` each round's
+    weights are added to a table there. Rows without a client are not trained on.
     """
     spark = df.sparkSession
     dims = [len(features), *hidden]
-    rows = only_normal(df, label).select(client, *features).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = only_normal(df, label).where(F.col(client).cast("int").isNotNull())
+    scalers = durable(client_scalers(rows, features, client, scaler))
+    model = FederatedModel(list(features), dims, nn.start_parameters(dims, seed), scalers)
+    training = ClientTraining(rows, scalers, features, client, rows_per_replica)
     try:
-        scalers = client_scalers(rows, features, client, scaler)
-        model = FederatedModel(list(features), dims, nn.start_parameters(dims, seed), scalers)
         for number in range(1, rounds + 1):
-            trained = local_train(rows, features, client, dims, model.params, scalers, epochs, rate)
-            table = spark.createDataFrame(
-                [(k, n, 0, p.tolist()) for k, (n, _, p) in trained.items()],
-                "client int, n_examples long, layer int, values array<double>",
-            )
-            model.params = np.array(fedavg(table).first()["values"])
-            losses = [loss for _, loss, _ in trained.values()]
-            model.history.append(
-                (number, len(trained), float(np.mean(losses)), int(sum(n for n, _, _ in trained.values())))
-            )
+            model.params, clients = training.run(model.params, dims, epochs, rate, batch, seed, number)
+            model.results.append(clients.withColumn("round", F.lit(number)))
+            n, loss, examples = clients.agg(F.count("*"), F.avg("loss"), F.sum("n_examples")).first()
+            model.history.append((number, n, loss, examples))
             if weights_path:
                 spark.createDataFrame([(number, model.params.tolist())], "round int, weights array<double>").write.mode(
                     "append").parquet(weights_path)
     finally:
-        rows.unpersist()
+        training.close()
     return model
 
 
@@ -181,6 +280,8 @@ def federated_evaluate(
     """Per client: examples, ROC AUC, F1 and the loss on its normals (null without any); threshold p92 of its scores if none is given."""
     scored = model.score(df, client).select(F.col(client).cast("string").alias("client"), label, "score")
     scored = durable(scored)
+    if scored.select("client").distinct().limit(MOST_EVALUATED + 1).count() > MOST_EVALUATED:
+        raise ValueError(f"at most {MOST_EVALUATED} clients can be evaluated at once")
     if threshold is None:
         found = exact_quantiles(scored, "score", [FIT_PERCENTILE], ["client"])
         limits = {k[0]: v[FIT_PERCENTILE] for k, v in found.items()}

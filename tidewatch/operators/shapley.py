@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.detectors.trees import mean_output, path_values
 from tidewatch.operators.explain import sorted_attribution
 
 EXACT_FEATURES = 15  # 2^d feature sets per record; the exact method takes no more
@@ -103,3 +104,33 @@ def shapley(
     found = spread.withColumn("_phi", attribute(F.struct(*value)))
     parts = {c: F.round(F.get("_phi", i), 6) for i, c in enumerate(features)}
     return found.withColumn(name, sorted_attribution(parts)).drop("_phi")
+
+
+def tree_shapley(df: DataFrame, detector, name: str = "attribution", raw: str | None = None, base: str | None = None) -> DataFrame:
+    """Add the attribution of a tree ensemble's raw output to every row, exact for any number of features.
+
+    ``detector`` is a fitted ``BoostedTrees`` or ``IsolationForest``. What is broadcast are its leaves' paths, at most
+    trees * 2 ** depth * depth entries. ``raw`` and ``base`` name columns for the raw output and its mean over the training
+    rows; the values add up to their difference. Shares are those of the training rows, so no background table is read.
+    """
+    table = detector.tree_table()
+    groups = table.paths()
+    held = df.sparkSession.sparkContext.broadcast((groups, table))
+
+    @F.pandas_udf("struct<values: array<double>, raw: double>")
+    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths, nodes = held.value
+        for batch in batches:
+            x = batch.to_numpy(dtype="float64")
+            yield pd.DataFrame({"values": list(path_values(x, paths)), "raw": nodes.raw(x)})
+
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    spread = df if df.isStreaming else df.repartition(tasks)
+    found = spread.withColumn("_phi", attribute(F.struct(*detector.tree_input())))
+    parts = {c: F.round(F.get(F.col("_phi.values"), i), 9) for i, c in enumerate(detector.features)}
+    found = found.withColumn(name, sorted_attribution(parts))
+    if raw:
+        found = found.withColumn(raw, F.col("_phi.raw"))
+    if base:
+        found = found.withColumn(base, F.lit(mean_output(groups)))
+    return found.drop("_phi")

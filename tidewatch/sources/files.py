@@ -86,7 +86,7 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
         detector.components = np.array(meta["components"])
     elif kind == "mlp":
         detector = MlpReconstruction(features, meta["hidden"], meta["epochs"], meta["rate"], meta["seed"])
-        detector.params, detector.losses = np.array(meta["params"]), meta["losses"]
+        detector.params, detector.losses, detector.checks = np.array(meta["params"]), meta["losses"], meta.get("checks", [])
     elif kind == "iforest":
         detector = IsolationForest(features, meta["trees"], meta["sample"], meta["seed"])
         detector.used = meta["used"]
