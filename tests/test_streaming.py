@@ -13,6 +13,7 @@ from tidewatch.operators import features as fe
 from tidewatch.plans import catalog
 from tidewatch.schemas import FLOW_SCHEMA, LOG_SCHEMA
 from tidewatch.sources import files, views
+from tidewatch.sources.alert_store import AlertStore
 from tidewatch.streaming import pipeline as st
 
 
@@ -77,7 +78,7 @@ def test_restart_adds_nothing(spark, folder, feed, tmp_path):
     for _ in range(2):
         stream = st.score_stream(st.stream_jsonl(spark, path, schema), plan.alerts)
         st.write_alert_batches(stream, str(tmp_path / "a"), str(tmp_path / "c"), available_now=True).awaitTermination(120)
-    stored = spark.read.parquet(str(tmp_path / "a"))
+    stored = AlertStore(spark, str(tmp_path / "a")).read()
     assert stored.count() == stored.select("id").distinct().count() > 0
 
 
@@ -121,13 +122,37 @@ def test_windows_close_and_late_rows_are_dropped(spark, tmp_path):
     assert [(r["n"], r["anomalies"], r["anomaly_rate"]) for r in first] == [(2, 1, 0.5)]
 
 
-def test_stream_dedupe(spark, tmp_path):
+def test_the_last_write_of_a_stream(spark, tmp_path):
     batches = [
-        [("a", "2024-01-01T10:00:00", "log", True), ("a", "2024-01-01T10:01:00", "log", True)],
-        [("a", "2024-01-01T10:02:00", "log", True), ("b", "2024-01-01T10:02:00", "log", True)],
+        [("a", "2024-01-01T10:00:00", "log", True), ("a", "2024-01-01T10:01:00.000500", "log", False), ("c", "2024-01-01T10:00:00", "log", True)],
+        [("a", "2024-01-01T10:02:00", "metric", True), ("b", "2024-01-01T10:02:00", "log", None)],
+        [("a", "2024-01-01T10:01:30", "log", False)],                                                 # older than what is known
+        [("d", "2024-01-01T13:00:00", "log", True)],                                                  # all before are settled
+        [("e", "2024-01-01T17:00:00", "log", True)],
     ]
-    seen = run_files(spark, lambda s: st.dedupe_stream(s, "1 hour", "ts"), batches, tmp_path, "append")
-    assert sorted(r["id"] for r in seen) == ["a", "b"]
+    seen = run_files(spark, lambda s: st.last_write_stream(s, "30 minutes", "10 minutes", "ts"), batches, tmp_path, "append")
+    got = sorted((r["id"], r["ts"].isoformat(), r["modality"], r["is_alert"]) for r in seen)
+    assert got == [
+        ("a", "2024-01-01T10:02:00", "metric", True), ("b", "2024-01-01T10:02:00", "log", None),
+        ("c", "2024-01-01T10:00:00", "log", True), ("d", "2024-01-01T13:00:00", "log", True),
+    ]
+
+
+def test_batch_and_stream_agree_on_a_replay_with_updates(spark, folder, tmp_path):
+    alerts = catalog.metric_alerts(spark, folder).cache()
+    again = alerts.where(F.conv(F.substring("id", 1, 1), 16, 10).cast("int") % 3 == 0).withColumns(
+        {"timestamp": F.col("timestamp") + F.expr("INTERVAL 1 DAY"), "severity": F.lit("low")})
+    every = alerts.unionByName(again).withColumn("_part", F.pmod(F.xxhash64("id", "timestamp"), F.lit(3))).cache()
+    feed = str(tmp_path / "in")
+    store = AlertStore(spark, str(tmp_path / "store"), merge_after=3)
+    for part in range(3):  # updates come in any order, also before what they replace
+        every.where(F.col("_part") == part).drop("_part").coalesce(2).write.mode("append").parquet(feed)
+        stream = spark.readStream.schema(alerts.schema).parquet(feed)
+        st.write_alert_batches(stream, store.path, str(tmp_path / "ck"), available_now=True).awaitTermination(120)
+    want = al.dedupe_alerts(every.drop("_part"))
+    text = lambda df: df.select("id", "timestamp", "severity", F.to_json(F.struct(*sorted(alerts.columns))).alias("row"))
+    got = text(store.read())
+    assert got.count() == want.count() > again.count() > 0 and got.exceptAll(text(want)).isEmpty()
 
 
 def test_batch_dedupe_keeps_the_last(spark):

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from tidewatch.operators.alerts import dedupe_alerts
-from tidewatch.sources.files import write_alerts
+from tidewatch.sources.alert_store import AlertStore
 
 
 def stream_jsonl(
@@ -33,9 +33,56 @@ def score_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame]) -
     return process(stream)
 
 
-def dedupe_stream(alerts: DataFrame, late: str = "10 minutes", time: str = "timestamp") -> DataFrame:
-    """First alert per id; ids leave the state once the watermark has passed them."""
-    return alerts.withWatermark(time, late).dropDuplicatesWithinWatermark(["id"])
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _LastWrite(StatefulProcessor):
+    """Per id: the last row so far, and a timer at the time when it counts as settled."""
+
+    def __init__(self, settle_ms: int):
+        self.settle_ms = settle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "at timestamp, at_ms long, body string")
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = self.last.get()
+        best = None if held is None else (held[1], held[2])
+        known = best
+        for batch in rows:  # id, event time, microseconds, the row as text
+            for at, body in zip(batch.iloc[:, 2].tolist(), batch.iloc[:, 3].tolist()):
+                best = (at, body) if best is None or (at, body) > best else best
+        if best != known:
+            if known is not None:
+                self.handle.deleteTimer(known[0] // 1000 + self.settle_ms)
+            self.last.update((pd.Timestamp(best[0], unit="us").to_pydatetime(), best[0], best[1]))
+            self.handle.registerTimer(best[0] // 1000 + self.settle_ms)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = self.last.get()
+        self.last.clear()
+        yield pd.DataFrame({"id": [key[0]], "_body": [held[2]]})
+
+    def close(self) -> None:
+        pass
+
+
+def last_write_stream(alerts: DataFrame, settle: str = "1 hour", late: str = "10 minutes", time: str = "timestamp") -> DataFrame:
+    """The last row of every id, once the watermark has passed it by ``settle``, as the batch form keeps the last.
+
+    State holds one row per id that is not settled; a later update of a settled id is emitted again, and the alert
+    store lets it replace the earlier one. Rows older than the watermark are dropped. State is kept in RocksDB.
+    """
+    spark = alerts.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS_DB)
+    rows = alerts.withWatermark(time, late).select(
+        "id", time, F.unix_micros(F.col(time).cast("timestamp")).alias("_ms"), F.to_json(F.struct(*alerts.columns), _JSON).alias("_body"))
+    settle_ms = int(spark.range(1).select(F.expr(f"unix_millis(timestamp_seconds(0) + INTERVAL {settle})")).first()[0])
+    kept = rows.groupBy("id").transformWithStateInPandas(_LastWrite(settle_ms), "id string, _body string", "Append", "EventTime")
+    return kept.select(F.from_json("_body", alerts.schema, _JSON).alias("a")).select("a.*")
 
 
 def write_alert_stream(
@@ -50,12 +97,11 @@ def write_alert_stream(
 
 
 def write_alert_batches(
-    alerts: DataFrame, path: str, checkpoint: str, available_now: bool = False, trigger: str = "10 seconds"
+    alerts: DataFrame, path: str, checkpoint: str, available_now: bool = False, trigger: str = "10 seconds",
+    source: str = "stream",
 ) -> StreamingQuery:
-    """One folder per micro-batch, overwritten if the batch is replayed, so a retry adds nothing twice."""
-    def store(batch: DataFrame, number: int) -> None:
-        write_alerts(dedupe_alerts(batch), f"{path}/batch={number}", mode="overwrite")
-
-    writer = alerts.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    """Every micro-batch updates the alert store at ``path`` by id; one that is replayed changes nothing."""
+    store = AlertStore(alerts.sparkSession, path)
+    writer = alerts.writeStream.foreachBatch(lambda batch, number: store.upsert(batch, source, number)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=trigger)
     return writer.start()
