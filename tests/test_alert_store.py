@@ -104,6 +104,15 @@ def test_filters_reach_the_files(store):
     assert plan.count("PartitionFilters: [isnotnull(bucket") >= 1  # also below the search for the last write
 
 
+def test_alerts_since_a_day(alerts, store):
+    for _ in range(2):
+        found = store.read("network", since="1996-01-01")
+        assert ids(found) == ids(alerts.where("modality = 'network' and timestamp >= '1996-01-01'")) != []
+        store.merge()
+    plan = store.read("network", since="1996-01-01")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,1996-01-01)" in plan  # skips files and row groups
+
+
 def test_acknowledgements_are_kept(spark, alerts, store):
     some = alerts.select(F.col("id").alias("alert_id")).limit(5)
     want = ids(some.withColumnRenamed("alert_id", "id"))

@@ -12,11 +12,7 @@ from tidewatch.operators.explain import alert_narrative, top_features
 from tidewatch.operators.knowledge import attach_attack_knowledge
 from tidewatch.schemas import ALERT_SCHEMA, MODALITIES, SEVERITIES
 
-DETAIL_COLUMNS = [
-    "id", "timestamp", "source", "anomaly_type", "fused_score", "severity",
-    "mitre_tactic", "mitre_technique", "description", "recommended_action",
-    "top_features", "feature_values", "shap_attribution",
-]
+DETAIL_COLUMNS = ALERT_SCHEMA.names
 BASELINE_SCORE = 0.08  # fixed value: drawn for records that raised no alert
 
 

@@ -6,10 +6,11 @@ engines add up in different orders are rounded to six places, and nested values
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.detectors.base import batch_score, custom_score
@@ -28,11 +29,12 @@ from tidewatch.operators import explain as xp
 from tidewatch.operators import features as fe
 from tidewatch.operators import federated as fed
 from tidewatch.operators import fuse, knowledge, ordering, profile, sampling, scaling
-from tidewatch.operators.shapley import shapley
+from tidewatch.operators.shapley import shapley, tree_shapley
 from tidewatch.plans.process import Pipeline
 from tidewatch.schemas import DERIVED_FLOW_FEATURES, FLOW_FEATURES, METRIC_FEATURES
-from tidewatch.session import durable, tune
+from tidewatch.session import durable, shared_folder, tune
 from tidewatch.sources import views
+from tidewatch.sources.alert_store import AlertStore
 from tidewatch.sources.views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,6 +138,30 @@ def every_alert(spark: SparkSession, folder: str) -> DataFrame:
     return al.union_modalities(flow_alerts(spark, folder), metric_alerts(spark, folder), plan.alerts(rows))
 
 
+_MADE: dict[tuple, object] = {}
+
+
+def once(make: Callable) -> Callable:
+    """What is fitted or stored for a folder is made by the first query of a session that needs it and then used by all."""
+    @wraps(make)
+    def made(spark: SparkSession, folder: str):
+        key = (spark.sparkContext.applicationId, folder, make.__name__)
+        if key not in _MADE:
+            _MADE[key] = make(spark, folder)
+        return _MADE[key]
+
+    return made
+
+
+@once
+def alert_store(spark: SparkSession, folder: str) -> AlertStore:
+    """The alerts of all modalities, as the pipelines would have stored them."""
+    store = AlertStore(spark, f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}")
+    store.upsert(every_alert(spark, folder))
+    store.merge()
+    return store
+
+
 def acks(spark: SparkSession, folder: str) -> DataFrame:
     """Acknowledgements read off all order lines: several per order, and many for orders without an alert."""
     return table(spark, folder, "lineitem").select(
@@ -572,16 +598,16 @@ def alerts_all(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def latest_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    found = al.latest_alerts(flow_alerts(spark, folder), 100, "critical")
+    found = al.latest_alerts(alert_store(spark, folder).read("network"), 100, "critical")
     return found.select("id", "timestamp", "source", "anomaly_type", "fused_score", "severity")
 
 
 @query
 def alert_detail(spark: SparkSession, folder: str) -> DataFrame:
     """The newest alert of each severity looked up by id, and fields of its raw record."""
-    alerts = flow_alerts(spark, folder)
-    wanted = alerts.groupBy("severity").agg(F.max(F.struct("timestamp", "id"))["id"].alias("id")).select("id")
-    found = alerts.join(wanted, "id", "left_semi")
+    store = alert_store(spark, folder)
+    newest = store.read("network").groupBy("severity").agg(F.max(F.struct("timestamp", "id"))["id"].alias("id")).collect()  # four severities
+    found = al.union_modalities(*[al.get_alert(store.alert(r["id"]), r["id"]) for r in newest] or [al.get_alert(store.read("network"), "")])
     return found.select(
         "id", "timestamp", "source", "anomaly_type", "fused_score", "severity", "mitre_tactic", "mitre_technique",
         F.concat_ws(",", "top_features").alias("top_features"),
@@ -592,34 +618,34 @@ def alert_detail(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def count_by_severity(spark: SparkSession, folder: str) -> DataFrame:
-    """The flagship plan: features, score, threshold, decision, knowledge join, counts."""
-    return al.count_by_severity(flow_alerts(spark, folder))
+    """Of the stored flow alerts: features, score, threshold, decision and knowledge join are behind them."""
+    return al.count_by_severity(alert_store(spark, folder).read("network"))
 
 
 @query
 def recent_severity(spark: SparkSession, folder: str) -> DataFrame:
-    return al.count_by_severity(metric_alerts(spark, folder), last=100)
+    return al.count_by_severity(alert_store(spark, folder).read("metric"), last=100)
 
 
 @query
 def count_by_tactic(spark: SparkSession, folder: str) -> DataFrame:
-    return al.count_by_tactic(every_alert(spark, folder))
+    return al.count_by_tactic(alert_store(spark, folder).read())
 
 
 @query
 def acked_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    found = al.acknowledged_alerts(flow_alerts(spark, folder), acks(spark, folder))
+    found = al.acknowledged_alerts(alert_store(spark, folder).read("network"), acks(spark, folder))
     return found.select("id", "is_acknowledged", "acknowledged_by", "note", "acknowledged_at")
 
 
 @query
 def unacked_alerts(spark: SparkSession, folder: str) -> DataFrame:
-    return al.alerts_without_ack(flow_alerts(spark, folder), acks(spark, folder)).select("id", "severity")
+    return al.alerts_without_ack(alert_store(spark, folder).read("network"), acks(spark, folder)).select("id", "severity")
 
 
 @query
 def orphan_acks(spark: SparkSession, folder: str) -> DataFrame:
-    return al.acks_without_alert(flow_alerts(spark, folder), acks(spark, folder))
+    return al.acks_without_alert(alert_store(spark, folder).read("network"), acks(spark, folder))
 
 
 @query
@@ -884,35 +910,119 @@ def latent_2d(spark: SparkSession, folder: str) -> DataFrame:
     return detector.latent_2d(rows).select("rec_id", "is_anomaly", "latent_x", "latent_y")
 
 
+def _held_out(key: str) -> Column:
+    """A fifth of the records, by a hash of the key, that no learner is trained on."""
+    return records.uniform_hash(F.col(key), 42) < 0.2
+
+
+@once
+def metric_network(spark: SparkSession, folder: str) -> tuple[DataFrame, MlpReconstruction]:
+    """Trained on the normals outside the held-out fifth; clip and threshold come from the labelled records outside it."""
+    rows = metric_view(spark, folder)
+    train = rows.where(~_held_out("rec_id"))
+    return rows, MlpReconstruction(METRIC_FEATURES).fit(fe.only_normal(train), labelled=train)
+
+
 @query
 def mlp_reconstruction(spark: SparkSession, folder: str) -> DataFrame:
-    rows, normals = _metric_normals(spark, folder)
-    detector = MlpReconstruction(METRIC_FEATURES, (16, 8), epochs=8, rate=0.01).fit(normals, None)
-    return detector.score(rows).select("rec_id", "is_anomaly", "score")
+    rows, detector = metric_network(spark, folder)
+    return detector.predict(rows).select("rec_id", "is_anomaly", "score", "prediction", _held_out("rec_id").alias("held_out"))
+
+
+@query
+def mlp_latent_2d(spark: SparkSession, folder: str) -> DataFrame:
+    """The network's latent vectors in two dimensions."""
+    rows, detector = metric_network(spark, folder)
+    return detector.latent_2d(rows).select("rec_id", "is_anomaly", "latent_x", "latent_y")
 
 
-def _boosted(spark: SparkSession, folder: str) -> tuple[DataFrame, BoostedTrees]:
+@once
+def flow_trees(spark: SparkSession, folder: str) -> tuple[DataFrame, BoostedTrees]:
     rows = flow_rows(spark, folder)
-    train = rows.where(records.uniform_hash(F.col("flow_id"), 42) >= 0.2)
-    return rows, BoostedTrees(FLOW_FEATURES, trees=10, depth=4, rate=0.3).fit(train, "is_anomaly")
+    train = rows.where(~_held_out("flow_id"))
+    return rows, BoostedTrees(FLOW_FEATURES).fit(train, "is_anomaly", validation=train)
 
 
 @query
 def boosted_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows, detector = _boosted(spark, folder)
-    return detector.score(rows).select("flow_id", "is_anomaly", "score")
+    rows, detector = flow_trees(spark, folder)
+    return detector.predict(rows).select("flow_id", "is_anomaly", "score", "prediction", _held_out("flow_id").alias("held_out"))
 
 
 @query
 def boosted_importance(spark: SparkSession, folder: str) -> DataFrame:
-    rows, detector = _boosted(spark, folder)
+    rows, detector = flow_trees(spark, folder)
     return detector.feature_importance(rows, top=10)
 
 
+@query
+def boosted_importance_total(spark: SparkSession, folder: str) -> DataFrame:
+    """What holds for importances: one per feature, none negative, and one in all."""
+    rows, detector = flow_trees(spark, folder)
+    return detector.feature_importance(rows).agg(
+        F.count("*").alias("features"), F.round(F.sum("importance"), 6).alias("total"), F.sum((F.col("importance") < 0).cast("long")).alias("negative"))
+
+
+def _tree_attributed(spark: SparkSession, folder: str) -> DataFrame:
+    rows, detector = flow_trees(spark, folder)
+    return tree_shapley(rows.where("is_anomaly"), detector, raw="raw", base="base")
+
+
+@query
+def tree_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    """What drove the boosted trees' output for every anomalous flow: its three largest values."""
+    return _tree_attributed(spark, folder).select("flow_id", F.posexplode(F.slice("attribution", 1, 3)).alias("place", "entry")).select(
+        "flow_id", "place", "entry.feature", "entry.value")
+
+
+@query
+def tree_attribution_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Each record's values add up to its raw output less the mean output; ``gap`` is what is missing."""
+    total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"])
+    gap = F.col("raw") - F.col("base") - total
+    return _tree_attributed(spark, folder).select("flow_id", F.size("attribution").cast("long").alias("features"), F.abs(F.round(gap, 5)).alias("gap"))
+
+
+@query
+def forest_attribution_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """The same for an isolation forest on metrics, whose raw output is the exponent of its score."""
+    rows, normals = _metric_normals(spark, folder)
+    detector = IsolationForest(METRIC_FEATURES).fit(normals, "rec_id", None)
+    found = tree_shapley(detector.score(rows.where("is_anomaly")), detector, raw="raw", base="base")
+    total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"])
+    return found.select("rec_id", F.abs(F.round(F.col("base") + total - F.log2("score"), 5)).alias("gap"))
+
+
+@query
+def pca_keeps_lengths(spark: SparkSession, folder: str) -> DataFrame:
+    """With as many components as features the fitted projection only turns the standardised records: lengths stay."""
+    rows, normals = _metric_normals(spark, folder)
+    detector = PcaReconstruction(METRIC_FEATURES, len(METRIC_FEATURES)).fit(normals, None)
+    turned = sum((F.pow(detector.latent(i), 2) for i in range(len(METRIC_FEATURES))), F.lit(0.0))
+    return rounded(rows.select("rec_id", turned.alias("squared_length"), detector.expression().alias("error")), ["squared_length", "error"], 5)
+
+
+@query
+def held_out_network(spark: SparkSession, folder: str) -> DataFrame:
+    """Boosted trees, the reconstruction network, the forest and the fusion of trees and network on flows that none was trained on."""
+    rows, trees = flow_trees(spark, folder)
+    train = rows.where(~_held_out("flow_id"))
+    normals = fe.only_normal(train)
+    network = MlpReconstruction(FLOW_FEATURES).fit(normals, labelled=train)
+    forest = IsolationForest(FLOW_FEATURES).fit(normals, "flow_id")
+    fused = Pipeline("network", "flow_id", {"sup_score": trees, "ae_score": network}, 0.5)
+    threshold = cal.threshold_max_f1(durable(fused.scored(train).select("fused_score", "is_anomaly")), "fused_score", "is_anomaly", 0.9).first()["threshold"]
+    scored = durable(forest.score(fused.scored(rows.where(_held_out("flow_id"))), "if_score").select(
+        "is_anomaly", "sup_score", "ae_score", "if_score", "fused_score"))
+    limits = {"boosted": trees.threshold, "network": network.threshold, "forest": forest.threshold, "fused": threshold}
+    names = {"boosted": "sup_score", "network": "ae_score", "forest": "if_score", "fused": "fused_score"}
+    return ev.compare_detectors(scored, names, "is_anomaly", limits)
+
+
 @query
 def log_text_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows = views.logs(spark, folder)
-    detector = LogTextDetector(iterations=20).fit(rows)
+    detector = LogTextDetector().fit(rows)
     return detector.score(rows).select("log_id", "is_anomaly", "score")
 
 
@@ -922,11 +1032,23 @@ def shapley_values(spark: SparkSession, folder: str) -> DataFrame:
     rows, normals = _metric_normals(spark, folder)
     detector = PcaReconstruction(METRIC_FEATURES, 3).fit(normals)
     raised = detector.score(rows).where(F.col("score") >= F.lit(detector.threshold))
-    background = sampling.background_sample(rows, "rec_id", 30)
+    background = sampling.background_sample(rows, "rec_id", 200)
     found = shapley(raised, METRIC_FEATURES, detector.on_arrays(), background, "exact")
     return found.select("rec_id", F.inline("attribution"))
 
 
+@query
+def shapley_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Values over all feature sets add up to the score less the mean score of the background; ``gap`` is what is missing."""
+    rows, normals = _metric_normals(spark, folder)
+    detector = PcaReconstruction(METRIC_FEATURES, 3).fit(normals)
+    background = durable(sampling.background_sample(rows, "rec_id", 200).select(*METRIC_FEATURES))
+    base = detector.score(background).agg(F.avg("score")).first()[0]
+    found = shapley(detector.score(rows.where("is_anomaly")), METRIC_FEATURES, detector.on_arrays(), background, "exact")
+    total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"])
+    return found.select("rec_id", F.abs(F.round(F.col("score") - F.lit(base) - total, 4)).alias("gap"))
+
+
 @query
 def custom_scorer(spark: SparkSession, folder: str) -> DataFrame:
     """A scorer written in pandas: load per connection."""
@@ -942,9 +1064,10 @@ def _clients(spark: SparkSession, folder: str) -> DataFrame:
     return durable(ordering.partition_clients(views.metrics(spark, folder), 3, ["ts", "rec_id"]))
 
 
+@once
 def _federated(spark: SparkSession, folder: str) -> tuple[DataFrame, fed.FederatedModel]:
     rows = _clients(spark, folder)
-    return rows, fed.federated_fit(rows, METRIC_FEATURES, hidden=(16, 8), rounds=2, epochs=2, rate=0.01)
+    return rows, fed.federated_fit(rows, METRIC_FEATURES)
 
 
 @query
@@ -962,7 +1085,7 @@ def federated_eval(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def federated_vs_central(spark: SparkSession, folder: str) -> DataFrame:
     rows, model = _federated(spark, folder)
-    central = MlpReconstruction(METRIC_FEATURES, (16, 8), epochs=4, rate=0.01).fit(fe.only_normal(rows), None)
+    central = MlpReconstruction(METRIC_FEATURES, epochs=25).fit(fe.only_normal(rows), None)  # as many epochs as all rounds
     both = durable(central.score(model.score(rows, name="federated"), "central").select("is_anomaly", "federated", "central"))
     names = {"federated": "federated", "central": "central"}
     return ev.compare_detectors(both, names, "is_anomaly", _score_quantiles(both, list(names)))

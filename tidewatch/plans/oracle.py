@@ -541,6 +541,14 @@ def oracle_sql() -> dict[str, str]:
         "value_counts_service": with_ctes(C_FLOWS, f"""SELECT service, n, round(n / sum(n) OVER (), 6) AS share FROM (
             SELECT {_inverse(SERVICE_BY_PORT, 'dst_port')} AS service, count(*) AS n FROM flows GROUP BY 1)"""),
         "top_ports": with_ctes(C_FLOWS, "SELECT dst_port, count(*) AS n FROM flows GROUP BY 1 ORDER BY n DESC, dst_port LIMIT 10"),
+        # What must hold for learned results, whatever was learned.
+        "boosted_importance_total": f"SELECT CAST({len(FLOW_FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative",
+        "tree_attribution_sums": with_ctes(C_FLOWS, f"""SELECT flow_id, CAST({len(FLOW_FEATURES)} AS BIGINT) AS features, CAST(0 AS DOUBLE) AS gap
+          FROM flows WHERE is_anomaly"""),
+        "forest_attribution_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),
+        "shapley_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),
+        "pca_keeps_lengths": with_ctes(C_METRIC_SCORED, f"""SELECT rec_id, round({len(METRIC_FEATURES)} * score, 5) AS squared_length,
+          CAST(0 AS DOUBLE) AS error FROM mscored"""),
         "zscore_scores": with_ctes(C_THREE, f"SELECT rec_id, {_r(_THREE)} FROM three"),
         "score_percentiles": with_ctes(C_METRIC_SCORED, " UNION ALL ".join(
             f"SELECT CAST({p} AS DOUBLE) AS fraction, round(quantile_cont(score, {p}), 6) AS value FROM mscored" for p in PERCENTILES)),

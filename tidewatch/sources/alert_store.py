@@ -1,13 +1,14 @@
 """A table of alerts that is updated by id.
 
-Alerts lie in segments, folders of Parquet files cut by modality, bucket of the id and day. A manifest names the segments that
-count: per cell (modality and bucket) one base segment in which ids are unique, and newer segments of updates. A manifest is
+Alerts lie in segments, folders of Parquet files cut by modality and bucket of the id. Inside a cell rows are sorted by day and cut into
+files of bounded length, so that a filter on ``date`` skips files and row groups by their smallest and largest day without a
+folder per day. A manifest names the segments that count: per cell (modality and bucket) one base segment in which ids are unique, and newer segments of updates. A manifest is
 written under a name of its own and then renamed to its version number, which fails if another writer was first; that
 writer reads again and retries. Readers see one version as a whole. Of several writes of an id the last one counts: the
 latest timestamp, then the newest segment. Merging rewrites only cells that were updated; files that no
 manifest needs are removed by ``vacuum``.
 
-The id tells the modality, as ids are hashes of modality and record key; filters on modality and bucket reach the files.
+A cell is written by one task; take as many buckets as leave it a few GB. The id tells the modality, as ids are hashes of modality and record key; filters on modality and bucket reach the files.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tidewatch.schemas import ALERT_SCHEMA, MODALITIES
 
 BUCKETS = 16
 MERGE_AFTER = 8  # segments of updates
+ROWS_PER_FILE = 1_000_000
 ATTEMPTS = 10
 
 _STORED = T.StructType([*ALERT_SCHEMA.fields, T.StructField("bucket", T.IntegerType()), T.StructField("date", T.DateType())])
@@ -96,10 +98,11 @@ class AlertStore:
         return F.pmod(F.xxhash64(alert), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame) -> str:
-        """One segment with one file per cell and day and task; a cell's rows are together."""
+        """One segment; a cell's rows are together, in the order of their days."""
         name = f"data/{uuid.uuid4().hex}"
         cut = rows.select(*ALERT_SCHEMA.names).withColumns({"bucket": self.bucket_of(F.col("id")), "date": F.to_date("timestamp")})
-        cut.repartition("modality", "bucket", "date").write.partitionBy("modality", "bucket", "date").parquet(f"{self.path}/{name}")
+        placed = cut.repartition("modality", "bucket").sortWithinPartitions("modality", "bucket", "date", "timestamp")
+        placed.write.partitionBy("modality", "bucket").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.path}/{name}")
         return name
 
     def upsert(self, alerts: DataFrame, source: str | None = None, batch: int | None = None) -> None:
@@ -195,13 +198,15 @@ class AlertStore:
         rows = self._segments(manifest, cells, manifest["updates"])
         return last_writes(rows) if manifest["updates"] else rows.drop("_at")
 
-    def read(self, modality: str | None = None, version: int | None = None) -> DataFrame:
-        """All alerts, or those of one modality, each id once."""
+    def read(self, modality: str | None = None, version: int | None = None, since: str | None = None) -> DataFrame:
+        """All alerts, or those of one modality or from a day on, each id once."""
         if modality is not None and modality not in MODALITIES:
             raise ValueError(f"unknown modality: {modality}")
         rows = self._rows(self.manifest(version) or self._first)
         if modality is not None:
             rows = rows.where(F.col("modality") == modality)
+        if since is not None:
+            rows = rows.where(F.col("date") >= F.lit(since).cast("date"))
         return rows.select(*ALERT_SCHEMA.names)
 
     def alert(self, alert: str) -> DataFrame:
