@@ -68,26 +68,65 @@ def test_row_index_with_a_hot_value(spark, skewed, buckets):
     assert all(want[r["k"]] == r["row_index"] for r in got) and len(got) == len(s)
 
 
-def test_hot_value_is_split_over_buckets(spark, skewed):
+def range_sizes(df, order_by, by, buckets):
+    """Rows per range of the table that the running totals write."""
+    seen = []
+    real = ordering.durable
+
+    def spy(table):
+        out = real(table)
+        if "_run_c" in table.columns:
+            seen.append(out)
+        return out
+
+    ordering.durable = spy
+    try:
+        ordering.running_totals(df, {"c": F.lit(1)}, order_by, by, buckets)
+    finally:
+        ordering.durable = real
+    return [r["count"] for r in seen[0].groupBy("_range").count().collect()]
+
+
+@pytest.mark.parametrize("order_by", [["s", "k"], ["s"]])
+def test_a_hot_value_is_split_over_ranges(spark, skewed, order_by):
     s, y = skewed
-    df = table(spark, s, y)
-    cut = ordering.Buckets.of(df, ["s", "k"], 32)
-    sizes = [r["count"] for r in df.groupBy(cut.assign(df).alias("b")).count().collect()]
-    assert len(cut.cuts) > 20 and max(sizes) < 3.5 * len(s) / 32
+    sizes = range_sizes(table(spark, s, y), order_by, [], 32)  # also where nothing breaks the tie
+    assert len(sizes) > 20 and max(sizes) < 4 * len(s) / 32
 
 
-@pytest.mark.parametrize("buckets", [1000, 4000])
+@pytest.mark.parametrize("buckets", [None, 200])
 def test_row_index_over_a_year_of_days(spark, buckets):
     n = 40_000
     days = spark.range(n).select(F.col("id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(365))).alias("day")).repartition(5)
     rows = days.select(F.col("k"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("day").cast("int")).alias("ts"))
-    cut = ordering.Buckets.of(rows, ["ts", "k"], buckets)
-    assert len(cut.cuts) > buckets / 2
-    counts = rows.groupBy(cut.assign(rows).alias("b")).count().toPandas()["count"]
-    assert counts.sum() == n and counts.max() < 20 * n / buckets
     want = {r["k"]: i for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r["ts"], r["k"])))}
-    got = ordering.row_index(rows, ["ts", "k"], buckets=buckets).collect() if buckets == 1000 else []
-    assert all(want[r["k"]] == r["row_index"] for r in got)
+    got = ordering.row_index(rows, ["ts", "k"], buckets=buckets).collect()
+    assert len(got) == n and all(want[r["k"]] == r["row_index"] for r in got)
+
+
+def test_row_index_by_text_and_of_wide_rows(spark):
+    rows = spark.range(3000).select(
+        F.concat(F.lit("t"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("string")).alias("name"), "id", F.array("id").alias("list"),
+        F.create_map(F.lit("a"), F.col("id")).alias("map"), F.struct("id").alias("row"), F.when(F.col("id") % 7 > 0, F.col("id")).alias("hole"))
+    got = ordering.row_index(rows, ["name", "id"], buckets=9, total=True).collect()
+    want = {k: i for i, k in enumerate(sorted((r["name"], r["id"]) for r in got))}
+    assert len(got) == 3000 and all(want[r["name"], r["id"]] == r["row_index"] and r["list"] == [r["id"]] and r["row"]["id"] == r["id"] for r in got)
+    assert {r["row_index_total"] for r in got} == {3000}
+
+
+def test_running_totals_of_nothing_and_of_floats(spark):
+    none = spark.createDataFrame([], "s double, y double")
+    assert ordering.running_totals(none, {"cum": F.col("y")}, ["s"], totals=True).count() == 0
+    rows = spark.createDataFrame([(i % 5, float(i), None if i == 3 else 0.5) for i in range(50)], "g long, s double, y double")
+    got = ordering.running_totals(rows, {"cum": F.col("y"), "n": F.lit(1)}, ["s"], ["g"], 7).collect()
+    assert all(r["cum"] == 0.5 * (r["n"] - (r["g"] == 3)) and r["n"] == r["s"] // 5 + 1 for r in got) and len(got) == 50
+
+
+def test_no_range_stands_in_a_plan(spark, skewed):
+    """Neither cut points nor samples: the plan of a large number of ranges is as long as that of a few."""
+    s, y = skewed
+    lengths = [len(ordering.row_index(table(spark, s, y), ["s", "k"], buckets=n)._jdf.queryExecution().optimizedPlan().toString()) for n in (4, 400)]
+    assert abs(lengths[0] - lengths[1]) < 100
 
 
 def test_running_totals_keep_null_groups(spark):
@@ -142,7 +181,10 @@ def test_exact_quantiles(spark, skewed):
     df = table(spark, s, y, 9)
     got = ordering.exact_quantiles(df, "s", fractions)[()]
     assert [got[f] for f in fractions] == pytest.approx(np.quantile(s, fractions).tolist(), abs=1e-12)
-    by = ordering.exact_quantiles(df, "s", fractions, ["y"], buckets=3)
+    few = ordering.exact_quantiles(df, "s", fractions, most=300, sketch=64, margin=0.05)[()]
+    wrong = ordering.exact_quantiles(df, "s", fractions, most=300, sketch=8, margin=0.0001)[()]  # ranges that miss their rank
+    assert few == got and wrong == got
+    by = ordering.exact_quantiles(df, "s", fractions, ["y"], most=200, sketch=64, margin=0.05)
     for label in (0, 1):
         assert [by[(label,)][f] for f in fractions] == pytest.approx(np.quantile(s[y == label], fractions).tolist(), abs=1e-12)
     assert ordering.exact_quantile(df.where("s < 0"), "s", 0.5) is None

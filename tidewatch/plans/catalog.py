@@ -81,8 +81,9 @@ def metric_model(spark: SparkSession, folder: str, fraction: float | None = 0.92
     return rows, ZScoreDetector(METRIC_FEATURES).fit(fe.only_normal(rows), fraction)
 
 
-def log_model(spark: SparkSession, folder: str) -> tuple[DataFrame, ZScoreDetector]:
-    rows = views.logs(spark, folder, {"message_length": F.length("text")})
+def log_model(spark: SparkSession, folder: str, message: Column | None = None) -> tuple[DataFrame, ZScoreDetector]:
+    """``message`` is what is kept of the text, by default all of it."""
+    rows = views.logs(spark, folder, {"message_length": F.length("text")}, message)
     lengths = durable(rows.select("message_length", "is_anomaly"))  # the fit reads the texts once
     return rows, ZScoreDetector(["message_length"]).fit(fe.only_normal(lengths))
 
@@ -117,8 +118,8 @@ def metric_pipeline(spark: SparkSession, folder: str) -> tuple[DataFrame, Pipeli
     return rows, Pipeline("metric", "rec_id", {"score": detector}, detector.threshold, features=METRIC_FEATURES)
 
 
-def log_pipeline(spark: SparkSession, folder: str) -> tuple[DataFrame, Pipeline]:
-    rows, detector = log_model(spark, folder)
+def log_pipeline(spark: SparkSession, folder: str, message: Column | None = None) -> tuple[DataFrame, Pipeline]:
+    rows, detector = log_model(spark, folder, message)
     return rows, Pipeline("log", "log_id", {"score": detector}, detector.threshold, mode="label_first",
                           features=["source", "log_type", "message_length"])
 
@@ -666,7 +667,7 @@ def dashboard_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def feed_view(spark: SparkSession, folder: str) -> DataFrame:
-    rows, plan = log_pipeline(spark, folder)
+    rows, plan = log_pipeline(spark, folder, F.substring("text", 1, 60))
     return al.feed_view(plan.scored(rows)).select("log_id", "type", "origin", "title")
 
 
@@ -799,7 +800,7 @@ def sampled_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def sampled_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return sampling.sample_per_label(views.logs(spark, folder), "log_id", "is_anomaly", [True, False], 5)
+    return sampling.sample_per_label(views.logs(spark, folder, message=F.substring("text", 1, 80)), "log_id", "is_anomaly", [True, False], 5)
 
 
 @query
@@ -1019,11 +1020,42 @@ def held_out_network(spark: SparkSession, folder: str) -> DataFrame:
     return ev.compare_detectors(scored, names, "is_anomaly", limits)
 
 
+def _counted_logs(spark: SparkSession, folder: str, detector: LogTextDetector) -> DataFrame:
+    """Logs with the counts of their hashed terms in place of the text."""
+    docs = detector.hashed(table(spark, folder, "documents"), "text")
+    return views.logs(spark, folder, {"_tf": F.col("_tf")}, F.lit(None).cast("string"), docs)
+
+
 @query
 def log_text_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = views.logs(spark, folder)
-    detector = LogTextDetector().fit(rows)
-    return detector.score(rows).select("log_id", "is_anomaly", "score")
+    """Trained on the labelled logs outside the held-out fifth."""
+    detector = LogTextDetector()
+    rows = _counted_logs(spark, folder, detector).withColumn("held_out", _held_out("log_id"))
+    detector.fit(rows.where("not held_out"))
+    return detector.predict(rows).select("log_id", "is_anomaly", "score", "prediction", "held_out")
+
+
+def _term_attributed(spark: SparkSession, folder: str) -> DataFrame:
+    detector = LogTextDetector()
+    detector.fit(_counted_logs(spark, folder, detector))
+    toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id")
+    rows = table(spark, folder, "documents").join(toxic, "doc_id", "left_semi").select(F.col("doc_id").alias("log_id"), F.col("text").alias("message"))
+    return detector.term_attribution(detector.score(rows), top=10**9, raw="raw", base="base")
+
+
+@query
+def term_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    """The five terms that moved the score of each anomalous log most."""
+    return _term_attributed(spark, folder).select("log_id", F.posexplode(F.slice("attribution", 1, 5)).alias("place", "entry")).select(
+        "log_id", "place", F.col("entry.feature").alias("term"), "entry.value")
+
+
+@query
+def term_attribution_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Terms and intercept add up to the log-odds of the score; ``terms`` counts the distinct ones."""
+    total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"]) + F.col("base")
+    odds = F.log(F.col("score") / (1 - F.col("score")))
+    return _term_attributed(spark, folder).select("log_id", F.abs(F.round(F.greatest(F.least(odds, F.lit(20.0)), F.lit(-20.0)) - F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0)), 3)).alias("gap"))
 
 
 @query

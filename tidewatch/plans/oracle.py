@@ -546,6 +546,7 @@ def oracle_sql() -> dict[str, str]:
         "tree_attribution_sums": with_ctes(C_FLOWS, f"""SELECT flow_id, CAST({len(FLOW_FEATURES)} AS BIGINT) AS features, CAST(0 AS DOUBLE) AS gap
           FROM flows WHERE is_anomaly"""),
         "forest_attribution_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),
+        "term_attribution_sums": "SELECT doc_id AS log_id, CAST(0 AS DOUBLE) AS gap FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "shapley_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),
         "pca_keeps_lengths": with_ctes(C_METRIC_SCORED, f"""SELECT rec_id, round({len(METRIC_FEATURES)} * score, 5) AS squared_length,
           CAST(0 AS DOUBLE) AS error FROM mscored"""),

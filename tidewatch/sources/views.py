@@ -90,23 +90,26 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def logs(spark: SparkSession, folder: str, more: dict[str, Column] | None = None) -> DataFrame:
+def logs(
+    spark: SparkSession, folder: str, more: dict[str, Column] | None = None, message: Column | None = None, documents: DataFrame | None = None
+) -> DataFrame:
     """One log record per document; documents without a label keep a null ``is_anomaly``.
 
-    ``more`` are columns computed from the document before it is joined with its label, so that a text that is only
-    measured does not move.
+    ``more`` are columns computed from the document, and ``message`` what is kept of its text, before it is joined with its
+    label, so that a text that is only measured or shown in part does not move. ``documents`` may stand for the table.
     """
+    documents = table(spark, folder, "documents") if documents is None else documents
     labels = table(spark, folder, "labels").withColumnRenamed("doc_id", "labelled_id")
     toxic = F.col("toxic") == 1
     return (
-        table(spark, folder, "documents").withColumns(more or {})
+        documents.withColumns((more or {}) | {"_message": F.col("text") if message is None else message})
         .join(labels, F.col("doc_id") == F.col("labelled_id"), "left")
         .select(
             F.col("doc_id").alias("log_id"),
             (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id"))).alias("ts"),
             "source",
             F.col("lang").alias("log_type"),
-            F.col("text").alias("message"),
+            F.col("_message").alias("message"),
             F.when(F.col("toxic").isNotNull(), toxic).alias("is_anomaly"),
             F.when(toxic & (F.col("quality") == 1), "web_shell").when(toxic, "unauthorized_access").alias("anomaly_type"),
             *(more or {}),
