@@ -10,7 +10,8 @@ the pairs of two such sets. Bands are so wide that partners lie in one band or i
 Who shares a chunk is paired with the first of the group only, where the order is one of four by the chunk. Pairs that
 are too far apart by size or by the Hamming distance of their parity sketches, a lower bound of the difference, are
 dropped: first by sketches of 512 bits, then by sketches of at least four bits per shingle. The rest is verified on the sets.
-After linked sets have been united, groups whose members are still apart are searched pair by pair, so no link is lost.
+After linked sets have been united, groups whose members are still apart are compared in blocks: the sketches of two blocks
+meet in one array step, and only pairs that they do not rule out become rows. So no link is lost.
 
 Copies are one class from the start, known by hashes of the whole set, and move as one row from each slice of texts.
 
@@ -199,30 +200,35 @@ HELD_ROWS = 100_000
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, c1): pairs of the first with each other member, and the members of groups of three or more.
 
-    Groups are read as a stream; of a group that goes on, only the first member and its size are remembered.
+    Groups are read as a stream; of a group that goes on, its first member, its size and, up to two, its members are remembered.
     """
 
     def out(keys, a, b):
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(a), pa.array(b)], ["key", "a", "b"])
 
-    def done(keys, c1, key, center, seen):
+    def done(keys, c1, key, center, seen, early):
         new = np.ones(len(keys), bool)
         new[1:] = (keys[1:] != keys[:-1]) | (c1[1:] != c1[:-1])
         keys, c1 = keys[new], c1[new]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         size = np.diff(np.append(first, len(keys)))
         head = c1[first].copy()
-        if key is not None and keys[0] == key:
+        goes_on = key is not None and keys[0] == key
+        if goes_on:
+            if seen <= 2 < size[0] + seen:  # the group is listed from here on, with those that came before
+                yield out(np.full(len(early), key), early, early)
             head[0], size[0] = center, size[0] + seen
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
         member = c1 != head[group]
         large = size[group] > 2
         yield out(np.zeros(member.sum(), np.int64), head[group][member], c1[member])
         yield out(keys[large], c1[large], c1[large])
-        return int(keys[-1]), int(head[-1]), int(size[-1])
+        last = c1[first[-1] :]
+        known = np.concatenate([early, last]) if goes_on and len(first) == 1 else last
+        return int(keys[-1]), int(head[-1]), int(size[-1]), known[:2]
 
     held_keys, held_c1 = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, center, seen = None, 0, 0
+    key, center, seen, early = None, 0, 0, held_c1
     for batch in batches:
         keys = np.concatenate([held_keys, batch.column("key").to_numpy()])
         c1 = np.concatenate([held_c1, batch.column("c1").to_numpy()])
@@ -233,10 +239,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(keys) - cut > HELD_ROWS:
             cut = len(keys)
         if cut:
-            key, center, seen = yield from done(keys[:cut], c1[:cut], key, center, seen)
+            key, center, seen, early = yield from done(keys[:cut], c1[:cut], key, center, seen, early)
         held_keys, held_c1 = keys[cut:], c1[cut:]
     if len(held_keys):
-        yield from done(held_keys, held_c1, key, center, seen)
+        yield from done(held_keys, held_c1, key, center, seen, early)
 
 
 def _close_enough(a: str, b: str, threshold: tuple[int, int]):
@@ -273,10 +279,106 @@ def _sketched(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int])
     return durable(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(near, "a bigint, b bigint").distinct())
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
+#: Members of a group are compared in blocks of about so many.
+BLOCK_ROWS = 1024
+#: A member carries so many of its smallest keys, by which a pair that shares several groups is judged in one of them.
+LOW_KEYS = 8
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _near_in_block(key, n, component, own, wide, low, threshold) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that no bound rules out, of different components; with two blocks only pairs between them.
+
+    A pair that is known to share a smaller key is left to that key's group.
+    """
+    p, q = threshold
+    words = [np.frombuffer(w, np.uint64) for w in wide]
+    width = np.array([len(w) for w in words])
+    short = np.stack([_folded(w, 8) for w in words])
+    tables = {}  # by width: place of each row among the rows that are as wide, or twice as wide and folded
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        place = np.full(len(n), -1)
+        place[rows] = np.arange(len(rows))
+        tables[w] = place, np.stack([_folded(words[r], w) for r in rows.tolist()])
+    smaller = [{k for k in np.frombuffer(x, np.int64).tolist() if k < key} for x in low]
+    left, right = np.flatnonzero(own == own.min()), np.flatnonzero(own == own.max())
+    found = []
+    for start in range(0, len(left), 128):
+        a = left[start : start + 128]
+        x, y = n[a][:, None], n[right][None, :]
+        near = (component[a][:, None] != component[right][None, :]) & (x * q >= y * p) & (y * q >= x * p)
+        if own.min() == own.max():
+            near &= a[:, None] < right[None, :]
+        distance = np.zeros(near.shape, np.int64)
+        for k in range(8):
+            distance += np.bitwise_count(short[a, k][:, None] ^ short[right, k][None, :])
+        i, j = np.nonzero(near & (distance * (p + q) <= (x + y) * (q - p)))
+        i, j = a[i], right[j]
+        for w, (place, table) in tables.items():
+            pair = np.flatnonzero(np.minimum(width[i], width[j]) == w)
+            some = max(1, 2_000_000 // w)
+            for first in range(0, len(pair), some):
+                k = pair[first : first + some]
+                apart = np.bitwise_count(table[place[i[k]]] ^ table[place[j[k]]]).sum(axis=1, dtype=np.int64)
+                good = k[apart * (p + q) <= (n[i[k]] + n[j[k]]) * (q - p)]
+                mine = np.array([smaller[u].isdisjoint(smaller[v]) for u, v in zip(i[good].tolist(), j[good].tolist())], bool)
+                found.append((i[good][mine], j[good][mine]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _in_blocks(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes of different components in a group that the sketches do not rule out.
+
+    A group of m members is cut by hash into m / BLOCK_ROWS blocks, and a member goes once to every pair of blocks that has
+    its own. So rows grow with members times blocks, and a task holds two blocks; only pairs that may be partners become rows.
+    """
+    sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", "n", "component", "wide", "low")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(table: pa.Table) -> pa.RecordBatch:
+            key, rep, n, component, own = (table.column(c).to_numpy() for c in ("key", "rep", "n", "component", "own"))
+            x, y = _near_in_block(key[0], n, component, own, table.column("wide").to_pylist(), table.column("low").to_pylist(), threshold)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["a", "b"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(axis=1)) + 1).tolist(), len(group)]
+            for first, last in zip(cuts[:-1], cuts[1:]):
+                if held and tuple(group[first]) != now:
+                    yield judged(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(group[first])
+                held.append(batch.slice(first, last - first))
+        if held:
+            yield judged(pa.Table.from_batches(held))
+
+    return durable(
+        sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct())
+
+
+def _low_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = [np.array(x, np.int64).tobytes() for x in batch.column("keys").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("hash"), pa.array(keys, pa.binary())], ["hash", "low"])
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, width: int, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of nodes whose sets are similar enough, compared shingle by shingle."""
     p, q = threshold
-    pairs = _sketched(pairs, classes, threshold)
     nodes = durable(pairs.select(F.explode(F.array("a", "b")).alias("_node")).distinct())
     needed = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes  # at most 8 MB of ids
     texts = docs.select("doc_id", "text")
@@ -329,7 +431,7 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
             .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct())
 
     stars = nodes(groups.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    links = _verified(stars, classes, docs, width, threshold)
+    links = _verified(_sketched(stars, classes, threshold), docs, width, threshold)
     named = components(links)
     # Groups that still have members in several components.
     # Members move with three numbers each; sketches are added to those that are left.
@@ -338,15 +440,12 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
         groups.where(F.col("a") == F.col("b")).select("key", F.col("a").alias("hash"))
         .join(placed, F.col("hash") == F.col("_hash")).select("key", "hash", "component"))
     apart = durable(member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("key").alias("_key")))
-    rest = durable(
-        member.join(apart, F.col("key") == F.col("_key"), "left_semi").join(classes, F.col("hash") == F.col("c1"))
-        .select("key", "rep", "n", *_SKETCH, "component"))
-    if not rest.isEmpty():
-        pairs = durable(
-            rest.alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & close)
-            .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-        )
-        more = _verified(durable(pairs.join(stars, ["a", "b"], "left_anti")), classes, docs, width, threshold)
+    still = durable(member.join(apart, F.col("key") == F.col("_key"), "left_semi"))
+    if not still.isEmpty():
+        # A member has at most as many keys as its set has shingles.
+        low = still.groupBy("hash").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("keys")).mapInArrow(_low_keys, "hash bigint, low binary")
+        details = durable(low.join(classes, F.col("hash") == F.col("c1")).select("hash", "low", "rep", "n", "wide"))
+        more = _verified(_in_blocks(still.join(details, "hash"), threshold), docs, width, threshold)
         if not more.isEmpty():
             links = durable(links.unionByName(more))
             named = components(links)

@@ -218,8 +218,22 @@ def train(docs: DataFrame, labels: DataFrame, size: int = TRAIN_DOCUMENTS) -> Mo
                     [part.column("doc_id"), part.column("y").cast(pa.int32()), pa.array([f[0].tobytes() for f in found], pa.binary()),
                      pa.array([f[1].tobytes() for f in found], pa.binary())], ["doc_id", "y", "buckets", "amounts"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = _fitted([b for b in batches if b.num_rows], shares)
+        if model is not None:
+            yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "slope": [model.slope], "shift": [model.shift]})
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.mapInArrow(features, f"doc_id {kind}, y int, buckets binary, amounts binary").toArrow()
+    sampled = rows.mapInArrow(features, f"doc_id {kind}, y int, buckets binary, amounts binary").repartition(1)
+    found = sampled.mapInArrow(fit, "weights binary, slope double, shift double").collect()  # one row: the model
+    return Model(np.frombuffer(found[0]["weights"], np.float64), found[0]["slope"], found[0]["shift"]) if found else None
+
+
+def _fitted(batches: list[pa.RecordBatch], shares: dict) -> Model | None:
+    """The model of a sample's features; they lie in one task, whose size the sample's bound sets."""
+    if not batches:
+        return None
+    got = pa.Table.from_batches(batches)
     order = pc.sort_indices(got.column("doc_id")).to_pylist()  # the rows themselves are not copied
     y = np.array(got.column("y").to_pylist(), np.float64)[order]
     if len(set(y)) < 2:
