@@ -895,7 +895,7 @@ def _even_component(d: int):
 def iforest_scores(spark: SparkSession, folder: str) -> DataFrame:
     rows, normals = _metric_normals(spark, folder)
     detector = IsolationForest(METRIC_FEATURES).fit(normals, "rec_id", None)
-    return detector.score(rows).select("rec_id", "is_anomaly", "score")
+    return rounded(detector.score(rows).select("rec_id", "is_anomaly", "score"), ["score"])
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewatch.detectors.iforest import PRIME, tree_multipliers
 from tidewatch.functions.records import LOG_RULES
 from tidewatch.operators.knowledge import KNOWLEDGE, KNOWLEDGE_COLUMNS, UNKNOWN
 from tidewatch.schemas import (
@@ -328,6 +329,45 @@ def _uniform(key: str, seed: int) -> str:
     return f"(CAST('0x' || substr(md5('{seed}:' || CAST({key} AS STRING)), 1, 13) AS BIGINT) / CAST({16 ** 13} AS DOUBLE))"
 
 
+def _forest(trees: int = 200, sample: int = 256, seed: int = 42) -> str:
+    """Grow the same isolation forest on the normal metrics by recursion over levels, and walk it with every record."""
+    d = len(METRIC_FEATURES)
+    values = "[" + ", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE)" for c in METRIC_FEATURES) + "]"
+
+    def chance(what: str) -> str:
+        return f"(CAST('0x' || substr(md5('{seed}:' || t || ':' || node || ':{what}'), 1, 13) AS BIGINT) / CAST({16 ** 13} AS DOUBLE))"
+
+    path = "CASE WHEN n <= 1 THEN 0.0 WHEN n = 2 THEN 1.0 ELSE 2.0 * (ln(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n END"
+    lows, highs = ("[" + ", ".join(f"{f}(x[{i}]) OVER w" for i in range(1, d + 1)) + "]" for f in ("min", "max"))
+    group_lows, group_highs = ("[" + ", ".join(f"{f}(x[{i}])" for i in range(1, d + 1)) + "]" for f in ("min", "max"))
+    usable = f"list_filter(range(1, {d + 1}), lambda i: highs[i] > lows[i])"
+    feature = f"CASE WHEN depth < deepest AND len(usable) > 0 THEN usable[1 + CAST(floor({chance('feature')} * len(usable)) AS BIGINT)] END"
+    split = f"lows[feature] + {chance('split')} * (highs[feature] - lows[feature])"
+    factors = ", ".join(f"({t}, {a}, {b})" for t, (a, b) in enumerate(tree_multipliers(trees, seed)))
+    return f"""WITH RECURSIVE metrics AS ({METRICS}), trees(t, a, b) AS (VALUES {factors}),
+      normals AS (SELECT rec_id, {values} AS x, CAST('0x' || substr(md5('{seed}:' || rec_id), 1, 7) AS BIGINT) AS h FROM metrics WHERE NOT is_anomaly),
+      used AS (SELECT least({sample}, count(*)) AS used, greatest(1, CAST(ceil(log2(greatest(2, least({sample}, count(*))))) AS INTEGER)) AS deepest FROM normals),
+      drawn AS (SELECT t, x, used, deepest FROM normals, trees, used
+        QUALIFY row_number() OVER (PARTITION BY t ORDER BY (a * h + b) % {PRIME}, CAST(rec_id AS VARCHAR)) <= used),
+      placed AS (
+        SELECT t, x, deepest, CAST(0 AS BIGINT) AS node, 0 AS depth FROM drawn
+        UNION ALL
+        SELECT t, x, deepest, CASE WHEN x[feature] <= split THEN 2 * node + 1 ELSE 2 * node + 2 END, depth + 1
+        FROM (SELECT *, {split} AS split FROM (SELECT *, {feature} AS feature FROM (SELECT *, {usable} AS usable FROM (
+          SELECT *, {lows} AS lows, {highs} AS highs FROM placed WINDOW w AS (PARTITION BY t, node))))) WHERE feature IS NOT NULL
+      ),
+      nodes AS (SELECT t, node, feature, {split} AS split, depth + {path} AS path FROM (SELECT *, {feature} AS feature FROM (SELECT *, {usable} AS usable FROM (
+        SELECT t, node, depth, deepest, count(*) AS n, {group_lows} AS lows, {group_highs} AS highs FROM placed GROUP BY t, node, depth, deepest)))),
+      walk AS (
+        SELECT rec_id, {values} AS x, t, CAST(0 AS BIGINT) AS node FROM metrics, trees
+        UNION ALL
+        SELECT rec_id, x, t, CASE WHEN x[feature] <= split THEN 2 * node + 1 ELSE 2 * node + 2 END FROM walk JOIN nodes USING (t, node) WHERE feature IS NOT NULL
+      ),
+      ends AS (SELECT rec_id, avg(path) AS mean_path FROM walk JOIN nodes USING (t, node) WHERE feature IS NULL GROUP BY rec_id),
+      expected AS (SELECT used AS n FROM used)
+      SELECT rec_id, is_anomaly, round(pow(2, -mean_path / ({path})), 6) AS score FROM metrics JOIN ends USING (rec_id), expected"""
+
+
 def _inverse(case: dict, column: str) -> str:
     return "CASE " + column + " " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in case.items()) + " ELSE 'UNKNOWN' END"
 
@@ -545,6 +585,7 @@ def oracle_sql() -> dict[str, str]:
         "boosted_importance_total": f"SELECT CAST({len(FLOW_FEATURES)} AS BIGINT) AS features, CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative",
         "tree_attribution_sums": with_ctes(C_FLOWS, f"""SELECT flow_id, CAST({len(FLOW_FEATURES)} AS BIGINT) AS features, CAST(0 AS DOUBLE) AS gap
           FROM flows WHERE is_anomaly"""),
+        "iforest_scores": _forest(),
         "forest_attribution_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),
         "term_attribution_sums": "SELECT doc_id AS log_id, CAST(0 AS DOUBLE) AS gap FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)",
         "shapley_sums": with_ctes(C_METRICS, "SELECT rec_id, CAST(0 AS DOUBLE) AS gap FROM metrics WHERE is_anomaly"),

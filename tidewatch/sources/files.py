@@ -99,7 +99,7 @@ def load_detector(spark: SparkSession, path: str) -> Detector:
         detector.model = PipelineModel.load(f"{path}/model")
     else:
         raise ValueError(f"unknown detector kind: {kind}")
-    if "scaler" in meta:
+    if "scaler" in meta and kind != "iforest":
         detector.scaler = Standardizer(**meta["scaler"])
     detector.restore(meta)
     return detector
