@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.schemas import FUSION_WEIGHTS, RATIO_WEIGHTS, SUPERVISED_WEIGHTS
 
-_EPS = 1e-8
+EPS = 1e-8
 
 
 def clip(value: Column, low: float, high: float) -> Column:
@@ -60,7 +60,7 @@ def supervised(
 ) -> Column:
     """A classifier's probability backed by the reconstruction error relative to its threshold."""
     check_weights(weights)
-    ratio = clip(error / F.lit(max(error_threshold, _EPS)), 0, 3) / 3
+    ratio = clip(error / F.lit(max(error_threshold, EPS)), 0, 3) / 3
     return clip(F.lit(weights[0]) * clip(probability, 0, 1) + F.lit(weights[1]) * ratio, 0, 1)
 
 
@@ -70,8 +70,8 @@ def threshold_ratio(
 ) -> Column:
     """Two scores on unlike scales, each relative to its own threshold; both at threshold gives 0.5."""
     check_weights(weights)
-    a = clip(first / F.lit(max(first_threshold, _EPS)), 0, 3)
-    b = clip(second / F.lit(max(second_threshold, _EPS)), 0, 3)
+    a = clip(first / F.lit(max(first_threshold, EPS)), 0, 3)
+    b = clip(second / F.lit(max(second_threshold, EPS)), 0, 3)
     return clip((F.lit(weights[0]) * a + F.lit(weights[1]) * b) / 2, 0, 1)
 
 
@@ -79,7 +79,7 @@ def bounds_normalized(score: Column, low: float | None, high: float | None) -> C
     """Score mapped to [0, 1] by the bounds seen in training; without bounds it is left alone."""
     if low is None or high is None:
         return score
-    return clip((score - F.lit(low)) / F.lit(high - low + _EPS), 0, 1)
+    return clip((score - F.lit(low)) / F.lit(high - low + EPS), 0, 1)
 
 
 def _need(scores: Mapping[str, Column]) -> None:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidewatch.functions.fusion import EPS
 from tidewatch.functions.network import MAX_BYTES_PER_SEC, MAX_PACKETS_PER_SEC, MAX_PAYLOAD_DENSITY, SECONDS_OFFSET
-from tidewatch.schemas import COMMON_PORTS, SEVERITIES, SUPERVISED_WEIGHTS, SUSPICIOUS_PORTS
+from tidewatch.schemas import COMMON_PORTS, RATIO_WEIGHTS, SEVERITIES, SUPERVISED_WEIGHTS, SUSPICIOUS_PORTS
 
 
 def _listed(values) -> str:
@@ -22,6 +23,7 @@ def sql_functions() -> dict[str, tuple[str, str, str]]:
     total = "(out_bytes + in_bytes)"
     rank = " ".join(f"WHEN '{s}' THEN {i}" for i, s in enumerate(SEVERITIES, start=1))
     a, b = SUPERVISED_WEIGHTS
+    c, d = RATIO_WEIGHTS
     return {
         "bytes_out_in_ratio": (bytes_, "DOUBLE", "out_bytes / (in_bytes + 1)"),
         "bytes_per_sec": (f"{bytes_}, seconds DOUBLE", "DOUBLE",
@@ -38,12 +40,12 @@ def sql_functions() -> dict[str, tuple[str, str, str]]:
         "severity_rank": ("severity STRING", "INT", f"CASE severity {rank} ELSE 0 END"),
         "fuse_supervised": ("p DOUBLE, err DOUBLE, err_threshold DOUBLE", "DOUBLE",
                             f"{a}D * {_clip('p', 0, 1)} + {b}D * "
-                            + _clip("(err / greatest(err_threshold, 1e-8D))", 0, 3) + " / 3"),
+                            + _clip(f"(err / greatest(err_threshold, {EPS}D))", 0, 3) + " / 3"),
         "fuse_threshold_ratio": ("s1 DOUBLE, s2 DOUBLE, t1 DOUBLE, t2 DOUBLE", "DOUBLE",
-                                 _clip("((0.5D * " + _clip("(s1 / greatest(t1, 1e-8D))", 0, 3) + " + 0.5D * "
-                                       + _clip("(s2 / greatest(t2, 1e-8D))", 0, 3) + ") / 2)", 0, 1)),
+                                 _clip(f"(({c}D * " + _clip(f"(s1 / greatest(t1, {EPS}D))", 0, 3) + f" + {d}D * "
+                                       + _clip(f"(s2 / greatest(t2, {EPS}D))", 0, 3) + ") / 2)", 0, 1)),
         "bounds_normalized": ("score DOUBLE, low DOUBLE, high DOUBLE", "DOUBLE",
-                              _clip("((score - low) / (high - low + 1e-8D))", 0, 1)),
+                              _clip(f"((score - low) / (high - low + {EPS}D))", 0, 1)),
     }
 
 

@@ -31,7 +31,7 @@ from tidewatch.operators import federated as fed
 from tidewatch.operators import fuse, knowledge, ordering, profile, sampling, scaling
 from tidewatch.operators.shapley import shapley, tree_shapley
 from tidewatch.plans.process import Pipeline
-from tidewatch.schemas import DERIVED_FLOW_FEATURES, FLOW_FEATURES, METRIC_FEATURES
+from tidewatch.schemas import ALERT_SCHEMA, DERIVED_FLOW_FEATURES, FLOW_FEATURES, METRIC_FEATURES
 from tidewatch.session import durable, shared_folder, tune
 from tidewatch.sources import views
 from tidewatch.sources.alert_store import AlertStore
@@ -577,10 +577,8 @@ def drift_compare(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---- alerts -------------------------------------------------------------------------------------
 
-ALERT_VIEW = [
-    "id", "timestamp", "source", "modality", "anomaly_type", "fused_score", "severity", "is_acknowledged",
-    "mitre_tactic", "mitre_tactic_id", "mitre_technique", "mitre_technique_id", "description", "recommended_action",
-]
+#: The flat fields of an alert, without the narrative and the raw record.
+ALERT_VIEW = [f.name for f in ALERT_SCHEMA.fields if f.dataType.typeName() not in ("array", "map") and f.name not in ("narrative", "raw_record")]
 
 
 def _flat_alerts(alerts: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ FIT_PERCENTILE = 0.92
 RECALL_FLOORS = {"metric": 0.0, "network": 0.90}
 PERCENTILES = [0.50, 0.70, 0.80, 0.85, 0.90, 0.95, 0.99]
 
-# ---- record types ------------------------------------------------------------------------------
+# ---- fixed values: record types; names and order of their fields ------------------------------------------------------------------------------
 LOG_SCHEMA = _struct(
     ("timestamp", _TS), ("log_type", _S), ("message", _S),
     ("is_anomaly", _B), ("anomaly_type", _S), ("source", _S),
