@@ -16,7 +16,7 @@ from tidewatch.detectors.trees import TreeTable
 from tidewatch.operators.calibrate import threshold_max_f1
 from tidewatch.operators.features import require_columns
 from tidewatch.operators.profile import class_weights
-from tidewatch.session import shared_folder
+from tidewatch.session import remove_at_exit, shared_folder
 
 
 class BoostedTrees(Detector):
@@ -76,6 +76,7 @@ class BoostedTrees(Detector):
             spark = SparkSession.getActiveSession()
             path = f"{shared_folder(spark)}/boosted-{uuid.uuid4().hex}"
             self.model.write().save(path)
+            remove_at_exit(spark, path)
             n = F.col("nodeData")
             inner = n["leftChild"] >= 0
             self.nodes = spark.read.parquet(f"{path}/data").select(

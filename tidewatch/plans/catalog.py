@@ -32,7 +32,7 @@ from tidewatch.operators import fuse, knowledge, ordering, profile, sampling, sc
 from tidewatch.operators.shapley import shapley, tree_shapley
 from tidewatch.plans.process import Pipeline
 from tidewatch.schemas import ALERT_SCHEMA, DERIVED_FLOW_FEATURES, FLOW_FEATURES, METRIC_FEATURES
-from tidewatch.session import durable, shared_folder, tune
+from tidewatch.session import durable, remove_at_exit, shared_folder, tune
 from tidewatch.sources import views
 from tidewatch.sources.alert_store import AlertStore
 from tidewatch.sources.views import table
@@ -158,6 +158,7 @@ def once(make: Callable) -> Callable:
 def alert_store(spark: SparkSession, folder: str) -> AlertStore:
     """The alerts of all modalities, as the pipelines would have stored them."""
     store = AlertStore(spark, f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}")
+    remove_at_exit(spark, store.path)
     store.upsert(every_alert(spark, folder))
     store.merge()
     return store
