@@ -1,4 +1,4 @@
-"""Supervised detector: boosted trees of MLlib on standardised features, class-weighted."""
+"""Supervised detector: boosted trees, class-weighted. They are grown by ``boosting`` and kept as a model of MLlib."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.detectors.base import Detector
+from tidewatch.detectors.boosting import boost, library_model
 from tidewatch.detectors.trees import TreeTable
 from tidewatch.operators.calibrate import threshold_max_f1
 from tidewatch.operators.features import require_columns
@@ -40,16 +41,14 @@ class BoostedTrees(Detector):
         Splits of a tree do not change under scaling, so the features are taken as they are.
         """
         require_columns(train, self.features)
-        weight = class_weights(train, label).first()["anomaly_weight"]
-        y = F.col(label).cast("double")
-        rows = train.where(y.isNotNull()).select(
-            self._vector().alias("features"), y.alias("label"),
-            F.when(y == 1, F.lit(float(weight or 1.0))).otherwise(1.0).alias("weight"),
-        )
-        self.model = GBTClassifier(
+        weight = float(class_weights(train, label).first()["anomaly_weight"] or 1.0)
+        learner = GBTClassifier(
             maxIter=self.trees, maxDepth=self.depth, stepSize=self.rate, subsamplingRate=self.row_share,
             featureSubsetStrategy=str(self.column_share), weightCol="weight", seed=self.seed,
-        ).fit(rows)
+        )
+        made, limits = boost(train.where(F.col(label).cast("double").isNotNull()), self.features, label, weight, self.trees, self.depth, self.rate,
+                             self.row_share, self.column_share, self.seed)
+        self.model = library_model(train.sparkSession, learner, made, limits, self.rate)
         self.nodes = None
         if validation is not None:
             self.threshold = threshold_max_f1(self.score(validation), "score", label, min_recall).first()["threshold"]
