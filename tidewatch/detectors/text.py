@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -81,12 +81,16 @@ class LogTextDetector(Detector):
         held = df.sparkSession.sparkContext.broadcast(weights)
         buckets, intercept = self.terms, float(self.model.stages[2].intercept)
 
-        @F.pandas_udf("struct<parts: array<struct<feature: string, value: double>>, raw: double>")
-        def explain(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        entry = pa.struct([("feature", pa.string()), ("value", pa.float64())])
+
+        @F.arrow_udf("struct<parts: array<struct<feature: string, value: double>>, raw: double>")
+        def explain(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             place: dict[str, int] = {}
-            for batch in batches:
-                parts, sums = [], []
-                for words in batch:
+
+            def some(texts: pa.Array) -> pa.Array:
+                """The entries of a few texts; as Arrow columns they take the bytes of their words and a number each."""
+                ends, terms, shares, sums = [0], [], [], []
+                for words in texts.to_pylist():
                     counts = Counter(words if words is not None else ())
                     if len(place) > MOST_PLACES:
                         place.clear()
@@ -95,9 +99,16 @@ class LogTextDetector(Detector):
                             place[w] = term_bucket(w, buckets)
                     values = {w: float(held.value[place[w]]) * n for w, n in counts.items()}
                     sums.append(intercept + sum(values.values()))
-                    first = sorted(values.items(), key=lambda x: (-abs(x[1]), x[0]))[:top]
-                    parts.append([{"feature": w, "value": v} for w, v in first])
-                yield pd.DataFrame({"parts": parts, "raw": sums})
+                    for w, v in sorted(values.items(), key=lambda x: (-abs(x[1]), x[0]))[:top]:
+                        terms.append(w)
+                        shares.append(v)
+                    ends.append(len(terms))
+                entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(shares, pa.float64())], fields=list(entry))
+                parts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+                return pa.StructArray.from_arrays([parts, pa.array(sums, pa.float64())], ["parts", "raw"])
+
+            for batch in batches:
+                yield pa.concat_arrays([some(batch.slice(at, TEXTS_AT_ONCE)) for at in range(0, max(1, len(batch)), TEXTS_AT_ONCE)])
 
         found = df.withColumn("_phi", explain(tokens(F.col("message"))))
         found = found.withColumn(name, F.col("_phi.parts"))
@@ -108,7 +119,8 @@ class LogTextDetector(Detector):
         return found.drop("_phi")
 
 
-MOST_PLACES = 1_000_000  # words that a worker remembers the bucket of
+MOST_PLACES = 200_000  # words that a worker remembers the bucket of
+TEXTS_AT_ONCE = 64  # texts whose words are Python objects at the same time
 
 
 def term_bucket(term: str, buckets: int) -> int:

@@ -1034,18 +1034,18 @@ def log_text_scores(spark: SparkSession, folder: str) -> DataFrame:
     return detector.predict(rows).select("log_id", "is_anomaly", "score", "prediction", "held_out")
 
 
-def _term_attributed(spark: SparkSession, folder: str) -> DataFrame:
+def _term_attributed(spark: SparkSession, folder: str, top: int) -> DataFrame:
     detector = LogTextDetector()
     detector.fit(_counted_logs(spark, folder, detector))
     toxic = table(spark, folder, "labels").where("toxic = 1").select("doc_id")
     rows = table(spark, folder, "documents").join(toxic, "doc_id", "left_semi").select(F.col("doc_id").alias("log_id"), F.col("text").alias("message"))
-    return detector.term_attribution(detector.score(rows), top=10**9, raw="raw", base="base")
+    return detector.term_attribution(detector.score(rows), top=top, raw="raw", base="base")
 
 
 @query
 def term_attribution(spark: SparkSession, folder: str) -> DataFrame:
     """The five terms that moved the score of each anomalous log most."""
-    return _term_attributed(spark, folder).select("log_id", F.posexplode(F.slice("attribution", 1, 5)).alias("place", "entry")).select(
+    return _term_attributed(spark, folder, 5).select("log_id", F.posexplode(F.slice("attribution", 1, 5)).alias("place", "entry")).select(
         "log_id", "place", F.col("entry.feature").alias("term"), "entry.value")
 
 
@@ -1054,7 +1054,7 @@ def term_attribution_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Terms and intercept add up to the log-odds of the score; ``terms`` counts the distinct ones."""
     total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"]) + F.col("base")
     odds = F.log(F.col("score") / (1 - F.col("score")))
-    return _term_attributed(spark, folder).select("log_id", F.abs(F.round(F.greatest(F.least(odds, F.lit(20.0)), F.lit(-20.0)) - F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0)), 3)).alias("gap"))
+    return _term_attributed(spark, folder, 10**9).select("log_id", F.abs(F.round(F.greatest(F.least(odds, F.lit(20.0)), F.lit(-20.0)) - F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0)), 3)).alias("gap"))
 
 
 @query
