@@ -75,7 +75,13 @@ class PcaReconstruction(Detector):
         mean, std = np.array(self.scaler.mean), np.array(self.scaler.std)
         rest = np.eye(len(self.features)) - self.components.T @ self.components
         limit = self.score_clip if self.score_clip is not None else np.inf
-        return lambda x: np.minimum(((((x - mean) / std) @ rest.T) ** 2).mean(axis=1), limit)
+
+        def score(x: np.ndarray) -> np.ndarray:
+            return np.minimum(((((x - mean) / std) @ rest.T) ** 2).mean(axis=1), limit)
+
+        if self.score_clip is None:  # a quadratic form of the standardised record: matrix, and z = x * scale + shift
+            score.quadratic = (rest.T @ rest / len(mean), 1.0 / std, -mean / std)
+        return score
 
     def meta(self) -> dict:
         return super().meta() | {
