@@ -97,12 +97,22 @@ class AlertStore:
     def bucket_of(self, alert: Column) -> Column:
         return F.pmod(F.xxhash64(alert), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame) -> str:
-        """One segment; a cell's rows are together, in the order of their days."""
+    def _placed(self, rows: DataFrame, unique: bool = False) -> DataFrame:
+        """The last writes per id, a cell's rows together in the order of their days.
+
+        Rows move once: the ids of a cell meet in the task that writes it. Rows that lie in cells and are ``unique`` stay where they are.
+        """
+        if not unique:
+            bucket = self.bucket_of(F.col("id"))
+            cells = rows.withColumns({"bucket": bucket, "_cell": F.concat_ws("/", "modality", bucket.cast("string"))})
+            rows = last_writes(cells.repartition("_cell"))
+        dated = rows.select(*ALERT_SCHEMA.names, "bucket", F.to_date("timestamp").alias("date"))
+        return dated.sortWithinPartitions("modality", "bucket", "date", "timestamp")
+
+    def _write(self, rows: DataFrame, unique: bool = False) -> str:
+        """One segment."""
         name = f"data/{uuid.uuid4().hex}"
-        cut = rows.select(*ALERT_SCHEMA.names).withColumns({"bucket": self.bucket_of(F.col("id")), "date": F.to_date("timestamp")})
-        placed = cut.repartition("modality", "bucket").sortWithinPartitions("modality", "bucket", "date", "timestamp")
-        placed.write.partitionBy("modality", "bucket").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.path}/{name}")
+        self._placed(rows, unique).write.partitionBy("modality", "bucket").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.path}/{name}")
         return name
 
     def upsert(self, alerts: DataFrame, source: str | None = None, batch: int | None = None) -> None:
@@ -112,7 +122,7 @@ class AlertStore:
 
         if known(self.manifest() or self._first):
             return
-        name = self._write(last_writes(alerts.withColumn("_at", F.lit(0))))
+        name = self._write(alerts.select(*ALERT_SCHEMA.names).withColumn("_at", F.lit(0)))
 
         def add(now: dict) -> dict | None:
             if known(now):
@@ -137,7 +147,8 @@ class AlertStore:
         done = [list(u) for u in now["updates"]]
         touched = self._segments(now, [], [u for u in done]).select("modality", "bucket").distinct().collect()  # modalities times buckets
         cells = [f"{r['modality']}/{r['bucket']}" for r in touched]
-        name = self._write(self._rows(now, cells))
+        alone = len(done) == 1 and not any(c in now["base"] for c in cells)  # a segment's ids are unique, and nothing else is in its cells
+        name = self._write(self._segments(now, cells, now["updates"]), unique=alone)
 
         def swap(found: dict) -> dict | None:
             if any(found["base"].get(c) != now["base"].get(c) for c in cells) or [u for u in done if u not in found["updates"]]:
@@ -218,10 +229,11 @@ class AlertStore:
 def last_writes(rows: DataFrame) -> DataFrame:
     """Of several rows of one id the last: the latest timestamp, the newest segment (``_at``), then the one whose fields as text are last.
 
-    An aggregation by modality, bucket and id, so copies are reduced inside each task and filters on these reach the files.
+    An aggregation by modality, bucket and id, so filters on these reach the files; rows dealt by ``_cell`` do not move again.
     """
-    names = [c for c in rows.columns if c not in ("_at", "modality", "bucket", "id")]
-    by = [c for c in ("modality", "bucket", "id") if c in rows.columns]
+    keys = ("_cell", "modality", "bucket", "id")
+    names = [c for c in rows.columns if c not in ("_at", *keys)]
+    by = [c for c in keys if c in rows.columns]
     whole = F.struct(*names)
     order = F.struct(F.col("timestamp"), F.col("_at"), F.to_json(whole))
     return rows.groupBy(*by).agg(F.max_by(whole, order).alias("_a")).select(*by, "_a.*")
