@@ -172,7 +172,9 @@ class ClientTraining:
         ]
         names = ["client", "part", "kind", *[f"x{i}" for i in range(len(features))], "_h"]
         every = heads[0].select(names).unionByName(heads[1].select(names)).unionByName(data.select(names))
-        self.rows = every.repartition(self.tasks, "client", "part").sortWithinPartitions("client", "part", "kind", "_h").drop("_h").persist(
+        # parts of a client follow each other over the tasks; a hash of both would give some tasks several and others none
+        task = F.pmod(F.pmod(F.xxhash64("client"), F.lit(self.tasks)) + F.col("part"), F.lit(self.tasks)).cast("int")
+        self.rows = every.repartitionById(self.tasks, task).sortWithinPartitions("client", "part", "kind", "_h").drop("_h").persist(
             StorageLevel.MEMORY_AND_DISK)
 
     def run(self, params: np.ndarray, dims: Sequence[int], epochs: int, rate: float, batch: int, seed: int, number: int) -> tuple[np.ndarray, DataFrame]:
