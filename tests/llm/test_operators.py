@@ -356,6 +356,30 @@ def test_blocks_leave_no_pair_out(spark, monkeypatch):
     assert kept[1] == kept[3] > 0  # blocks of any size find the same pairs
 
 
+def test_members_go_to_blocks_with_a_quarter_of_their_sketch(spark, monkeypatch):
+    """Sketches are in no row before its block is known, then folded; what is ruled out by whole sketches is not verified."""
+    import numpy as np
+    import pyarrow as pa
+
+    sets = parity_join.Sets(pa.array([" ".join(f"w{i}" for i in range(first, first + 900)) for first in (0, 20, 450)] + ["a b c d e"]))
+    wide = sets.wide_sketches()
+    slim = [parity_join._slim(w) for w in wide]
+    assert [len(w) for w in wide] == [512, 512, 512, 64] and [len(w) for w in slim] == [128, 128, 128, 64]
+    apart = lambda x, y: int(np.bitwise_count(np.frombuffer(x, np.uint8) ^ np.frombuffer(y, np.uint8)).sum())
+    for i, j, differ in [(0, 1, 40), (1, 2, 860), (0, 2, 900)]:
+        assert apart(slim[i], slim[j]) <= apart(wide[i], wide[j]) <= differ
+    assert apart(slim[0], slim[2]) > 2 * 897 * 15 // 185  # still tells sets apart that are not similar
+    seen = []
+    in_blocks = parity_join._in_blocks
+    monkeypatch.setattr(parity_join, "_in_blocks", lambda *given: seen.append(given[:2]) or in_blocks(*given))
+    words = [f"w{i}" for i in range(900)]
+    docs = spark.createDataFrame([(k, " ".join(words[k * 60 : k * 60 + 600])) for k in range(6)], "doc_id long, text string")
+    parity_join.near_duplicates(docs)
+    (rest, details), = seen
+    assert set(rest.columns) == {"key", "hash", "component"}
+    assert {len(r["slim"]) for r in details.collect()} == {128}
+
+
 
 
 def test_one_of_each(docs):

@@ -249,3 +249,23 @@ def test_scores_stay_in_compiled_stages(spark, folder):
 
     text = plan(catalog.QUERIES["zscore_scores"](spark, folder)).split("== Physical Plan ==")[1]
     assert "PythonUDF" not in text and "ArrowEvalPython" not in text
+
+
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a stored table was shuffled through goes with the write, not with some later garbage collection."""
+    import time
+
+    from tidewatch.session import SHUFFLE_CLEANUP, durable
+
+    def held() -> set[str]:
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.length()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    set_before, before = spark.conf.get(SHUFFLE_CLEANUP, None), held()
+    rows = spark.range(20_000).withColumn("k", F.col("id") % 50)
+    stored = durable(rows.repartition(5, "k").groupBy("k").count().repartition(3, "count", "k"))
+    end = time.time() + 20
+    while held() - before and time.time() < end:  # files are removed while the driver goes on
+        time.sleep(0.1)
+    assert not held() - before
+    assert stored.agg(F.sum("count")).first()[0] == 20_000 and spark.conf.get(SHUFFLE_CLEANUP, None) == set_before

@@ -10,8 +10,9 @@ the pairs of two such sets. Bands are so wide that partners lie in one band or i
 Who shares a chunk is paired with the first of the group only, where the order is one of four by the chunk. Pairs that
 are too far apart by size or by the Hamming distance of their parity sketches, a lower bound of the difference, are
 dropped: first by sketches of 512 bits, then by sketches of at least four bits per shingle. The rest is verified on the sets.
-After linked sets have been united, groups whose members are still apart are compared in blocks: the sketches of two blocks
-meet in one array step, and only pairs that they do not rule out become rows. So no link is lost.
+After linked sets have been united, groups whose members are still apart are compared in blocks: the sketches of two blocks,
+folded to a quarter of their bits, meet in one array step, and only pairs that they do not rule out become rows, which then
+face the whole sketches. So no link is lost.
 
 Copies are one class from the start, known by hashes of the whole set, and move as one row from each slice of texts.
 
@@ -334,21 +335,22 @@ def _near_in_block(key, n, component, own, wide, low, threshold) -> tuple[np.nda
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _in_blocks(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _in_blocks(rest: DataFrame, details: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) of nodes of different components in a group that the sketches do not rule out.
 
     A group of m members is cut by hash into m / BLOCK_ROWS blocks, and a member goes once to every pair of blocks that has
     its own. So rows grow with members times blocks, and a task holds two blocks; only pairs that may be partners become rows.
+    Members get their ``details`` when their blocks are known, so that sketches move once with each.
     """
     sizes = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("hash", "key"), F.col("blocks")).cast("int"))
     sent = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "rep", "n", "component", "wide", "low")
+        "key", F.least("own", "_other").alias("i"), F.greatest("own", "_other").alias("j"), "own", "hash", "component").join(details, "hash").drop("hash")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def judged(table: pa.Table) -> pa.RecordBatch:
             key, rep, n, component, own = (table.column(c).to_numpy() for c in ("key", "rep", "n", "component", "own"))
-            x, y = _near_in_block(key[0], n, component, own, table.column("wide").to_pylist(), table.column("low").to_pylist(), threshold)
+            x, y = _near_in_block(key[0], n, component, own, table.column("slim").to_pylist(), table.column("low").to_pylist(), threshold)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[x], rep[y])), pa.array(np.maximum(rep[x], rep[y]))], ["a", "b"])
 
         held: list[pa.RecordBatch] = []
@@ -370,6 +372,19 @@ def _in_blocks(rest: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         sent.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a bigint, b bigint").distinct())
 
 
+def _slim(wide: bytes) -> bytes:
+    """A sketch folded to a quarter of its bits, at least one per shingle, and no less than 512."""
+    words = np.frombuffer(wide, np.uint64)
+    return _folded(words, max(8, len(words) // 4)).tobytes()
+
+
+def _slimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("hash", "low", "rep", "n")), pa.array([_slim(w) for w in batch.column("wide").to_pylist()], pa.binary())],
+            ["hash", "low", "rep", "n", "slim"])
+
+
 def _low_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys = [np.array(x, np.int64).tobytes() for x in batch.column("keys").to_pylist()]
@@ -444,8 +459,9 @@ def similar_documents(docs: DataFrame, width: int = SHINGLE, threshold: tuple[in
     if not still.isEmpty():
         # A member has at most as many keys as its set has shingles.
         low = still.groupBy("hash").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LOW_KEYS).alias("keys")).mapInArrow(_low_keys, "hash bigint, low binary")
-        details = durable(low.join(classes, F.col("hash") == F.col("c1")).select("hash", "low", "rep", "n", "wide"))
-        more = _verified(_in_blocks(still.join(details, "hash"), threshold), docs, width, threshold)
+        details = durable(low.join(classes, F.col("hash") == F.col("c1")).select("hash", "low", "rep", "n", "wide").mapInArrow(
+            _slimmed, "hash bigint, low binary, rep bigint, n bigint, slim binary"))
+        more = _verified(_sketched(_in_blocks(still, details, threshold), classes, threshold), docs, width, threshold)
         if not more.isEmpty():
             links = durable(links.unionByName(more))
             named = components(links)

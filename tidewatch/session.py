@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 # whose generated methods are split and share common subexpressions.
 JIT_METHOD_LIMIT = 8000
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_METHOD_LIMIT)
@@ -33,11 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """Compute a table once and cut its lineage: written to the shared folder and read back.
 
-    As Parquet, so that later passes read only the columns they need and lost executors cost nothing.
+    As Parquet, so that later passes read only the columns they need and lost executors cost nothing. The write's shuffle
+    files go with its end instead of whenever the driver's next garbage collection finds them unused.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
