@@ -100,3 +100,18 @@ def test_stored_alerts_move_once(spark, tmp_path):
     store.upsert(rows.where("id = 'a7'").withColumn("timestamp", F.lit("2030-01-01").cast("timestamp")).withColumn("source", F.lit("new")).limit(1))
     store.merge()
     assert store.read().count() == 50 and store.read().where("source = 'new'").count() == 1
+
+
+def test_small_tables_are_grown_in_few_tasks(spark, monkeypatch):
+    """Less than a chunk for a task is put together; trees are the same, to the last bit, as with all tasks."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 3))
+    rows = spark.createDataFrame([(*map(float, r), float(r[0] + r[1] * r[2] > 0.3)) for r in x], "a double, b double, c double, y double")
+    parts, added = [], boosting._added
+    monkeypatch.setattr(boosting, "_added", lambda found: parts.append(found.getNumPartitions()) or added(found))
+    few, limits = boosting.boost(rows, ["a", "b", "c"], "y", 2.0, 4, 3, 0.1, 0.8, 1.0, 7)
+    assert set(parts) == {1}
+    parts.clear()
+    monkeypatch.setattr(boosting, "CHUNK", 10)
+    many, _ = boosting.boost(rows, ["a", "b", "c"], "y", 2.0, 4, 3, 0.1, 0.8, 1.0, 7)
+    assert set(parts) == {spark.sparkContext.defaultParallelism} and few == many
