@@ -45,6 +45,16 @@ def test_terms_add_up_to_the_log_odds(texts):
     assert detector.term_attribution(texts, top=2).where(F.size("attribution") > 2).isEmpty()
 
 
+def test_sure_scores_have_odds_too(spark, monkeypatch):
+    """Scores that long texts round to 0 or 1: a term moves the odds by more than a double between them can hold."""
+    cases = {1: (1.0, 45.0), 2: (0.0, -45.0), 3: (0.25, math.log(1 / 3)), 4: (1 - 2.0 ** -53, 36.7), 5: (1e-300, -690.0), 6: (0.5, 1.0)}
+    rows = spark.createDataFrame([(i, score, [("word", total - 1.0)], 1.0) for i, (score, total) in cases.items()],
+                                 "log_id long, score double, attribution array<struct<feature: string, value: double>>, base double")
+    monkeypatch.setattr(catalog, "_term_attributed", lambda *_: rows)
+    found = {r["log_id"]: r["gap"] for r in catalog.QUERIES["term_attribution_sums"](spark, "").collect()}
+    assert found == {1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0, 6: 1.0}
+
+
 def test_counts_made_before_a_join_score_alike(texts):
     detector = LogTextDetector(iterations=20).fit(texts)
     other = LogTextDetector(iterations=20)

@@ -1053,8 +1053,17 @@ def term_attribution(spark: SparkSession, folder: str) -> DataFrame:
 def term_attribution_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Terms and intercept add up to the log-odds of the score; ``terms`` counts the distinct ones."""
     total = F.aggregate("attribution", F.lit(0.0), lambda a, e: a + e["value"]) + F.col("base")
-    odds = F.log(F.col("score") / (1 - F.col("score")))
-    return _term_attributed(spark, folder, 10**9).select("log_id", F.abs(F.round(F.greatest(F.least(odds, F.lit(20.0)), F.lit(-20.0)) - F.greatest(F.least(total, F.lit(20.0)), F.lit(-20.0)), 3)).alias("gap"))
+    gap = _log_odds(F.col("score")) - F.greatest(F.least(total, F.lit(MOST_ODDS)), F.lit(-MOST_ODDS))
+    return _term_attributed(spark, folder, 10**9).select("log_id", F.abs(F.round(gap, 3)).alias("gap"))
+
+
+MOST_ODDS = 20.0  # log-odds beyond which a probability in double precision no longer tells them apart
+
+
+def _log_odds(score: Column) -> Column:
+    """Log-odds of a probability within ``MOST_ODDS``; a sure score, rounded to 0 or 1, has the outermost ones."""
+    odds = F.log(score / F.nullif(1 - score, F.lit(0.0)))
+    return F.when(score <= 0, -MOST_ODDS).when(score >= 1, MOST_ODDS).otherwise(F.greatest(F.least(odds, F.lit(MOST_ODDS)), F.lit(-MOST_ODDS)))
 
 
 @query
