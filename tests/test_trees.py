@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.detectors.boosted import BoostedTrees
 from tidewatch.detectors.iforest import IsolationForest
-from tidewatch.detectors.trees import TreeTable, mean_output, path_values
+from tidewatch.detectors import trees
+from tidewatch.detectors.trees import PathTables, TreeTable, mean_output, path_values
 from tidewatch.operators.shapley import tree_shapley
 from tidewatch.schemas import METRIC_FEATURES
 from tidewatch.sources import views
@@ -67,10 +68,44 @@ def test_path_values_equal_all_feature_sets(seed, features, depth):
     assert np.allclose(got.sum(axis=1), table.raw(x) - base)
 
 
+@pytest.mark.parametrize("seed,features,depth,bits", [(5, 3, 5, 7), (6, 6, 6, 7), (7, 12, 10, 7), (8, 12, 7, 3), (9, 1, 4, 2)])
+def test_looked_up_values_are_those_of_the_paths(monkeypatch, seed, features, depth, bits):
+    """Also of paths with more features than a table has answers, and of a record on either side of every split."""
+    monkeypatch.setattr(trees, "CELL_BITS", bits)
+    monkeypatch.setattr(trees, "LEAVES_AT_ONCE", 5)
+    monkeypatch.setattr(trees, "ROWS_AT_ONCE", 7)
+    rng = np.random.default_rng(seed)
+    table = TreeTable.of(random_trees(rng, 6, depth, features), rng.normal(size=6))
+    x = np.concatenate([rng.normal(size=(20, features)), rng.choice(table.split, size=(20, features))])
+    tables = PathTables(table)
+    assert bool(tables.many) == (bits < features and bits < depth)
+    assert np.allclose(tables.values(x), path_values(x, table.paths()), atol=1e-12)
+
+
+def test_a_value_costs_less_than_every_leaf(monkeypatch):
+    """Rows are looked up by subtree: no work per leaf and point of the quadrature is left for each of them."""
+    rng = np.random.default_rng(10)
+    table = TreeTable.of(random_trees(rng, 10, 6, 8), np.ones(10))
+    tables, leaves = PathTables(table), sum(len(g.value) for g in table.paths())
+    monkeypatch.setattr(trees, "answer_values", None)
+    assert not tables.many and 3 * len(tables.cells) < leaves
+    assert tables.values(rng.normal(size=(50, 8))).shape == (50, 8)
+
+
+def test_missing_and_endless_numbers_go_where_the_trees_send_them():
+    table = TreeTable.of(random_trees(np.random.default_rng(12), 3, 3, 2), np.ones(3))
+    assert (table.cover > 0).all()
+    x = np.array([[np.nan, 0.1], [np.inf, 0.1], [1e300, 0.1], [-np.inf, 0.1], [-1e300, 0.1]])
+    got = PathTables(table).values(x)
+    assert np.array_equal(got[0], got[2]) and np.array_equal(got[1], got[2]) and np.array_equal(got[3], got[4])
+    assert np.allclose(got.sum(axis=1), table.raw(x) - mean_output(table.paths()))
+
+
 def test_a_tree_that_is_one_leaf():
     nodes = pd.DataFrame([(0, 0, -1, 0.0, -1, -1, 2.5, 10)], columns=["tree", "node", "feature", "split", "left", "right", "value", "cover"])
     table = TreeTable.of(nodes, np.ones(1))
     assert path_values(np.zeros((2, 3)), table.paths()).tolist() == [[0, 0, 0], [0, 0, 0]]
+    assert PathTables(table).values(np.zeros((2, 3))).tolist() == [[0, 0, 0], [0, 0, 0]]
     assert mean_output(table.paths()) == 2.5 and table.raw(np.zeros((2, 3))).tolist() == [2.5, 2.5]
 
 
