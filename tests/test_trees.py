@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.detectors.boosted import BoostedTrees
 from tidewatch.detectors.iforest import IsolationForest
-from tidewatch.detectors import trees
+from tidewatch.detectors import boosting, trees
 from tidewatch.detectors.trees import PathTables, TreeTable, mean_output, path_values
 from tidewatch.operators.shapley import tree_shapley
 from tidewatch.schemas import METRIC_FEATURES
@@ -140,3 +140,58 @@ def test_scoring_leaves_the_fitted_model_alone(metrics):
     before = detector.model.getFeaturesCol()
     detector.score(metrics).count()
     assert detector.model.getFeaturesCol() == before
+
+
+def grown(rng, features: int, depth: int) -> boosting.Tree:
+    tree, level = boosting.Tree(), [0]
+    tree.add(1, 1.0, 0.0)
+    for _ in range(depth):
+        below = []
+        for node in level:
+            if node and rng.random() < 0.15:
+                continue
+            tree.feature[node], tree.bin[node] = int(rng.integers(features)), int(rng.integers(1, 31))
+            tree.left[node], tree.right[node] = (tree.add(1, 1.0, float(rng.normal())) for _ in range(2))
+            below += [tree.left[node], tree.right[node]]
+        level = below
+    return tree
+
+
+@pytest.mark.parametrize("depth", [0, 1, 6, 10])
+def test_marks_are_the_nodes_that_rows_come_to(depth):
+    rng = np.random.default_rng(depth)
+    tree, bins = grown(rng, 5, depth), rng.integers(0, 32, (5, 3000)).astype(np.uint8)
+    came = np.zeros((bins.shape[1], len(tree.feature)), dtype=bool)
+    last = np.zeros(bins.shape[1], dtype=int)
+    for i in range(bins.shape[1]):
+        node = 0
+        came[i, 0] = True
+        while tree.feature[node] >= 0:
+            node = tree.left[node] if bins[tree.feature[node], i] <= tree.bin[node] else tree.right[node]
+            came[i, node] = True
+        last[i] = node
+    assert np.array_equal(boosting.leaf_values(bins, tree), tree.value()[last])
+    wanted = {node: i + 1 for i, node in enumerate(n for n in range(len(tree.feature)) if tree.feature[n] < 0 and n % 2)}
+    assert boosting.marked(bins, tree, wanted).tolist() == [wanted.get(n, 0) for n in last]
+    assert np.array_equal(boosting.marked(bins, tree, {len(tree.feature) - 1: 7}), 7 * came[:, -1])
+
+
+def test_rows_are_compared_only_on_the_way_to_a_wanted_node():
+    """A chunk is compared once per split above a wanted node, not looked up row by row from the root of the tree."""
+    tree = grown(np.random.default_rng(1), 5, 6)
+    looked = []
+
+    class Bins(list):
+        shape = (5, 40)
+
+        def __getitem__(self, feature):
+            looked.append(feature)
+            return np.full(40, 3, dtype=np.uint8)
+
+    wanted, above = len(tree.feature) - 1, 0
+    node = wanted
+    while node:
+        node = next(n for n in range(node) if node in (tree.left[n], tree.right[n]))
+        above += 1
+    boosting.marked(Bins(), tree, {wanted: 1})
+    assert len(looked) == above
